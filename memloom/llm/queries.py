@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import decontaminate, exact_dedup, perspectives
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,3 +47,24 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op8_exact_dedup", """
+select doc_id, keep_id, group_size, doc_id = keep_id kept, sha256(n) text_sha256 from (
+  select doc_id, n, first_value(doc_id) over (partition by n order by length(coalesce(text, '')) desc, doc_id) keep_id, count(*) over (partition by n) group_size
+  from (select doc_id, text, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') n from documents))""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op2_perspective_rotation", """
+with t as (select distinct conv_id, turn, case when trim(coalesce(role, '')) = '' then 'unknown' else role end as name, coalesce(text, '') as content from conversations),
+p as (select distinct conv_id, name perspective from t where name <> 'system'),
+e as (select conv_id, perspective, turn, name, content, case when name = perspective then 'assistant' when name = 'system' then 'system' else 'user' end as r from t join p using (conv_id)),
+s as (select *, '<|' || r || '|>' || case when r = 'user' then name || ': ' else '' end as h from e),
+g as (select *, h || content || '<|end|>' as segment from s),
+w as (select *, row_number() over o - 1 as seq, cast(sum(length(segment)) over o - length(segment) as bigint) as b from g window o as (partition by conv_id, perspective order by turn, name, content rows unbounded preceding))
+select conv_id, perspective, seq, turn, r as role, name, segment, b as start, length(segment) as length, r = 'assistant' as train,
+  case when r = 'assistant' then b + length(h) end as train_start, case when r = 'assistant' then length(segment) - length(h) end as train_length from w""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate(table(spark, sf_dir, "conversations"))
