@@ -48,6 +48,7 @@ def disk_state(spark: SparkSession):
     want = {
         "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",

@@ -1,6 +1,7 @@
 """A counterfactual-regularised toxicity classifier.
 
-A logistic model over the presence of words is fitted to labelled documents. For
+A logistic model over the presence of words and of word beginnings (so that inflected
+and compounded forms are known by their stem) is fitted to labelled documents. For
 every labelled text that mentions an identity term, copies with the term swapped
 for the others of its group are made, and the squared difference of the scores of text
 and copies is part of the loss. A term that merely keeps company with toxic texts
@@ -9,7 +10,7 @@ rejected.
 
 Fitting uses at most ``max_rows`` labelled rows, those with the smallest hash of
 their id, so the sample and everything gathered from it are bounded: candidate words are counted in
-Spark, and at most ``max_words`` of significant association are kept. Scoring reads
+Spark, and at most ``max_words`` that are clearly more frequent in toxic texts are kept. Scoring reads
 every whole text once, without a shuffle.
 
 Defined results: null and empty texts get the score of a text without any known
@@ -33,7 +34,7 @@ from . import arrowtext as at
 
 MAX_ROWS = 20_000
 MAX_WORDS = 256
-LEAST_Z = 4.0
+LEAST_Z, LEAST_LIFT = 4.0, 3.0
 THRESHOLD = 0.3
 #: Groups of identity terms; terms of one group are swapped for each other.
 IDENTITIES = (
@@ -47,6 +48,23 @@ IDENTITIES = (
 )
 
 
+#: Lengths in bytes of the word beginnings that are features besides whole words.
+STEMS = (4, 5, 6)
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words and their beginnings (a short word stands for its own), and the first of each row."""
+    low = at.LOWER[data]
+    starts, ends, first = at.runs(at.PLAIN_WORDS[low], offsets)
+    values = at.byte_values(low)
+    table = np.empty((len(starts), 1 + len(STEMS)), np.uint64)
+    table[:, 0] = at.span_hashes(values, starts, ends)
+    for j, size in enumerate(STEMS, 1):
+        stem = at.span_hashes(values, starts, np.minimum(ends, starts + size)) ^ np.uint64(size)
+        table[:, j] = np.where(ends - starts > size, stem, table[:, 0])
+    return table.ravel(), first * (1 + len(STEMS))
+
+
 @dataclass(frozen=True)
 class Model:
     """Weights by word hash (sorted) and an intercept."""
@@ -56,7 +74,7 @@ class Model:
     bias: float
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        found, first = at.hashed_words(data, offsets, at.PLAIN_WORDS)
+        found, first = features(data, offsets)
         total = np.full(len(offsets) - 1, self.bias)
         if len(self.words) and len(found):
             row, word = present(found, first, self.words)
@@ -102,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, offsets in at.slices(batch.column("text")):
-                found, first = at.hashed_words(data, offsets, at.PLAIN_WORDS)
+                found, first = features(data, offsets)
                 row = np.repeat(np.arange(high - low), np.diff(first))
                 order = np.lexsort((found, row))
                 row, found = row[order], found[order]
@@ -120,14 +138,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(rate / (1 - rate))))
     rate = totals.toxic / totals.n
     z = (F.col("toxic") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    chosen = counts.where("not whole and n >= 3").select("word", z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "word").limit(max_words).collect()
+    chosen = counts.where("not whole and n >= 3").where(F.col("toxic") >= LEAST_LIFT * rate * F.col("n")).select("word", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "word").limit(max_words).collect()
     groups = [term_hashes(list(g)) for g in identities]
     words = np.unique(np.concatenate([np.array([r.word for r in chosen], np.int64).view(np.uint64), *groups]))
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, offsets in at.slices(batch.column("text")):
-                found, first = at.hashed_words(data, offsets, at.PLAIN_WORDS)
+                found, first = features(data, offsets)
                 row, word = present(found, first, words)
                 edges = np.searchsorted(row, np.arange(high - low + 1))
                 lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(word, pa.int32()))
@@ -161,7 +179,7 @@ def swapped(x: np.ndarray, n: np.ndarray, groups: list[np.ndarray]) -> tuple[np.
     return pairs, np.bincount(back.ravel(), np.array(of))
 
 
-def descend(x: np.ndarray, y: np.ndarray, n: np.ndarray, swaps: tuple[np.ndarray, np.ndarray], penalty: float, l2: float = 1e-3, steps: int = 60) -> tuple[np.ndarray, float]:
+def descend(x: np.ndarray, y: np.ndarray, n: np.ndarray, swaps: tuple[np.ndarray, np.ndarray], penalty: float, l2: float = 1e-4, steps: int = 60) -> tuple[np.ndarray, float]:
     """Newton steps on log loss + ridge + penalty on the score changes of swapped texts."""
     pairs, of = swaps
     full = np.hstack([x, np.ones((len(x), 1))])
