@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, packing, perspectives, secrets, token_count, toxicity
+from . import decontaminate, exact_dedup, minhash, packing, perspectives, secrets, token_count, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,3 +104,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
     )
+
+
+@query("op7_minhash_near_dedup", """
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
+g as (select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 2, 2)), lambda p: array_to_string(w[p : p + 3], ' '))) g from w where len(w) > 0),
+n as (select doc_id, count(*) n from g group by 1),
+c as (select a.doc_id a, b.doc_id b, count(*) k from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+u as (select a x, b y from l union all select b, a from l),
+r(x, c) as (select distinct x, x from u union select u.y, r.c from r join u on u.x = r.x),
+m as (select x, min(c) c from r group by 1)
+select doc_id, coalesce(n, 0) n_shingles, coalesce(c, doc_id) component_id, coalesce(c, doc_id) = doc_id kept from documents left join n using (doc_id) left join m on x = doc_id""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
