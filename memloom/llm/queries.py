@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, minhash, packing, perspectives, secrets, token_count, toxicity
+from . import decontaminate, exact_dedup, minhash, packing, perspectives, secrets, suffixes, token_count, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,3 +118,16 @@ m as (select x, min(c) c from r group by 1)
 select doc_id, coalesce(n, 0) n_shingles, coalesce(c, doc_id) component_id, coalesce(c, doc_id) = doc_id kept from documents left join n using (doc_id) left join m on x = doc_id""")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+@query("op4_sparse_suffix_dedup", """
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
+g as (select doc_id, unnest(range(0, len(w) - 49)) s, unnest(list_transform(range(1, len(w) - 48), lambda p: md5(array_to_string(w[p : p + 49], ' ')))) h from w where len(w) >= 50),
+r as (select h, min(doc_id) low from g group by 1 having min(doc_id) <> max(doc_id)),
+x as (select doc_id, s, low from g join r using (h)),
+n as (select *, case when s <= lag(s) over (partition by doc_id order by s) + 50 then 0 else 1 end as fresh from x),
+p as (select *, sum(fresh) over (partition by doc_id order by s rows unbounded preceding) part from n)
+select doc_id, min(s) start_word, max(s) + 50 - min(s) n_words, min(low) first_doc_id from p group by doc_id, part""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = suffixes.repeated_spans(table(spark, sf_dir, "documents"), min_words=50)
+    return spans.select("doc_id", "start_word", "n_words", "first_doc_id")
