@@ -10,9 +10,10 @@ Equal digests are only hits. The full bytes of all hits are compared: within a
 digest, distinct normalised texts are told apart, and if a digest turns out to
 hold several, its rows are grouped by their bytes instead.
 
-Copies collapse before each shuffle (partial aggregation), and joins on the
-digest are plain equi-joins that adaptive execution can split, so a group that
-holds a third of all rows is never in one task.
+Copies collapse before each shuffle (partial aggregation). To give every document its
+group's result back, documents are salted by their id; the state also remembers
+which salts a group has, and its result is sent to just those. A group that holds a
+third of all rows is thus never in one task.
 
 Defined results: a null text counts as empty, and all empty or blank texts are
 one group; of equal texts the longest original, then the smallest id stays; rows
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from memloom.operators.scratch import Scratch
 
+SALTS = 64
 BLANKS = "[\\x20\\x09-\\x0D]"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -69,7 +71,7 @@ def arrivals(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Colu
     return docs.select(
         F.col(id_col).alias("id"), digest(body).alias("digest"), sha256(body).alias("sha256"),
         F.length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long").alias("n_chars"),
-        F.input_file_name().alias("file"),
+        F.input_file_name().alias("file"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int").alias("salt"),
     )
 
 
@@ -77,7 +79,7 @@ def run_stream(spark: SparkSession, source: str, schema, target: str, bytes_per_
     """Feed all arrivals in ``source`` to the keyed state below ``target``; the state's rows by digest."""
     stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(source)
     best = F.max(F.struct("n_chars", (-F.col("id")).alias("order"), "id", "file")).alias("best")
-    state = stream.groupBy("digest").agg(best, F.count(F.lit(1)).alias("group_size"))
+    state = stream.groupBy("digest").agg(best, F.count(F.lit(1)).alias("group_size"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"))
 
     def journal(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/journal/epoch={epoch}")
@@ -85,9 +87,9 @@ def run_stream(spark: SparkSession, source: str, schema, target: str, bytes_per_
     with disk_state(spark):
         (state.writeStream.outputMode("update").foreachBatch(journal).option("checkpointLocation", f"{target}/stream")
          .trigger(availableNow=True).start().awaitTermination())
-    rows = spark.read.option("basePath", f"{target}/journal").schema(f"digest string, {_best_type(schema)}, group_size long, epoch long").parquet(f"{target}/journal/epoch=*")
-    latest = rows.groupBy("digest").agg(F.max(F.struct("epoch", "best", "group_size")).alias("at"))
-    return latest.select("digest", F.col("at.best.id").alias("keep_id"), F.col("at.best.file").alias("keep_file"), F.col("at.group_size").alias("group_size"))
+    rows = spark.read.option("basePath", f"{target}/journal").schema(f"digest string, {_best_type(schema)}, group_size long, salts long, epoch long").parquet(f"{target}/journal/epoch=*")
+    latest = rows.groupBy("digest").agg(F.max(F.struct("epoch", "best", "group_size", "salts")).alias("at"))
+    return latest.select("digest", F.col("at.best.id").alias("keep_id"), F.col("at.best.file").alias("keep_file"), F.col("at.group_size").alias("group_size"), F.col("at.salts").alias("salts"))
 
 
 def _best_type(schema) -> str:
@@ -101,7 +103,7 @@ def duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark, "exact")
     came = scratch.write(arrivals(docs, id_col, text_col, digest), "arrivals")
     if came.isEmpty():
-        groups = spark.createDataFrame([], f"digest string, keep_id {came.schema['id'].dataType.simpleString()}, keep_file string, group_size long")
+        groups = spark.createDataFrame([], f"digest string, keep_id {came.schema['id'].dataType.simpleString()}, keep_file string, group_size long, salts long")
     else:
         groups = scratch.write(run_stream(spark, f"{scratch.path}/arrivals", came.schema, f"{scratch.path}/state", bytes_per_batch), "groups")
 
@@ -110,7 +112,8 @@ def duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     variants = hits.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n")).groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
     collided = scratch.write(variants.where("texts > 1").select("digest"), "collided")
 
-    found = came.join(groups.select("digest", "keep_id", "group_size"), "digest")
+    present = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("salts", k) == 1)
+    found = came.join(groups.select("digest", "keep_id", "group_size", F.explode(present).alias("salt")), ["digest", "salt"])
     if not collided.isEmpty():
         inside = came.join(collided, "digest", "left_semi").select("id", "digest", "sha256", "n_chars")
         bodies = inside.join(content.join(collided, "digest", "left_semi"), ["id", "digest"]).dropDuplicates()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, minhash, packing, perspectives, secrets, suffixes, token_count, toxicity
+from . import decontaminate, exact_dedup, lm_score, minhash, packing, perspectives, secrets, suffixes, token_count, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,3 +131,9 @@ select doc_id, min(s) start_word, max(s) + 50 - min(s) n_words, min(low) first_d
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = suffixes.repeated_spans(table(spark, sf_dir, "documents"), min_words=50)
     return spans.select("doc_id", "start_word", "n_words", "first_doc_id")
+
+
+@query("op1_lm_score")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.scored(docs, lm_score.train(docs, table(spark, sf_dir, "labels"), label_col="quality", wanted=1))
