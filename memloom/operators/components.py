@@ -24,25 +24,21 @@ def connected_components(edges: DataFrame, *, a: str = "a", b: str = "b", scratc
     pairs = edges.where(x.isNotNull() & y.isNotNull()).select(F.least(x, y).alias("u"), F.greatest(x, y).alias("v")).distinct()
     current = scratch.write(pairs, f"{label}-edges-0")
     nodes = current.select(F.col("u").alias("node")).union(current.select("v")).distinct()
-    labels = scratch.write(nodes.select("node", F.col("node").alias("component")), f"{label}-labels-0")
+    labels = nodes.select("node", F.col("node").alias("component"))
     current = current.where("u <> v")
     turn = 0
     while not current.isEmpty():
         turn += 1
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         up = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p"))
-        up = scratch.write(up, f"{label}-up-{turn}")
         for jump in range(JUMPS):
             over = up.select(F.col("u").alias("p"), F.col("p").alias("pp"))
             up = up.join(over, "p", "left").select("u", F.coalesce("pp", "p").alias("p"))
-        up = scratch.write(up, f"{label}-jumped-{turn}")
+        up = scratch.write(up, f"{label}-up-{turn}")
+        labels = labels.join(up.select(F.col("u").alias("component"), F.col("p").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
         moved = current.join(up.select("u", F.col("p").alias("pu")), "u").join(up.select(F.col("u").alias("v"), F.col("p").alias("pv")), "v")
         kept = moved.where("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct()
         current = scratch.write(kept, f"{label}-edges-{turn}")
-        over = up.select(F.col("u").alias("component"), F.col("p").alias("to"))
-        labels = scratch.write(labels.join(over, "component", "left").select("node", F.coalesce("to", "component").alias("component")), f"{label}-labels-{turn}")
-        for name in ("edges", "labels"):
-            scratch.drop(f"{label}-{name}-{turn - 1}")
-        scratch.drop(f"{label}-up-{turn}")
-        scratch.drop(f"{label}-jumped-{turn}")
-    return labels
+        if turn > 1:
+            scratch.drop(f"{label}-edges-{turn - 1}")
+    return scratch.write(labels, f"{label}-labels")
