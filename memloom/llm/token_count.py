@@ -34,6 +34,8 @@ from .transducer import ChunkMap, CountingTransducer, scan_total
 CHUNK = 1 << 18
 MEMO = 1_000_000
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
+#: The blanks of the splitting rule (not Python's, which has four control characters more).
+_blank = re.compile("[ \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _special = re.compile("|".join(map(re.escape, SPECIALS)))
 
 
@@ -82,7 +84,7 @@ class Counter:
         heads, inner, tails = [], [], []
         for at_ in range(0, len(text), chunk):
             part = text[at_ : at_ + chunk]
-            blanks = [m.start() for m in re.finditer(r"\s", part)]
+            blanks = [m.start() for m in _blank.finditer(part)]
             first, last = (blanks[0], blanks[-1]) if blanks else (len(part), None)
             heads.append(part[:first])
             inner.append(part[first:last] if blanks else "")
