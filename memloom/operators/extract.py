@@ -133,14 +133,15 @@ def rule_claims(messages: DataFrame, *, domain: str = ROOT_DOMAIN, organisation:
 
 
 def rule_entities(messages: DataFrame, claims: DataFrame, organisation: str = ROOT_ORGANISATION) -> DataFrame:
-    """Entities of each thread in order of first mention: the seeded organisation, senders, then objects.
+    """Entities of each thread in order of first mention: the seeded organisation, senders, then the claims' ends.
 
     The first mention makes the entity and its first_seen; last_seen is the latest timestamp.
     """
     seed = messages.select("thread_id").distinct().select("thread_id", F.lit(-1).cast("long").alias("msg"), F.lit(-1).alias("rule"), F.lit(0).alias("hit"), F.lit(organisation).alias("name"), F.lit("Organisation").alias("type"), F.lit("").alias("ts"))
     senders = messages.select("thread_id", F.col("seq").alias("msg"), F.lit(0).alias("rule"), F.lit(0).alias("hit"), person_name(F.col("sender")).alias("name"), F.lit("Person").alias("type"), F.col("ts_raw").alias("ts"))
     objects = claims.select("thread_id", "msg", "rule", "hit", F.col("object_name").alias("name"), F.col("object_type").alias("type"), F.col("timestamp").alias("ts"))
-    every = seed.unionByName(senders).unionByName(objects).withColumn("key", F.concat("type", F.lit("::"), F.lower(strip(F.col("name")))))
+    subjects = claims.select("thread_id", "msg", "rule", "hit", F.col("subject_name").alias("name"), F.col("subject_type").alias("type"), F.col("timestamp").alias("ts"))
+    every = seed.unionByName(senders).unionByName(subjects).unionByName(objects).withColumn("key", F.concat("type", F.lit("::"), F.lower(strip(F.col("name")))))
     place = F.struct("msg", "rule", "hit", "name", "ts")
     made = every.groupBy("thread_id", "key", "type").agg(F.min(place).alias("first"), F.max("ts").alias("last_seen"))
     return made.select("thread_id", "key", "type", F.col("first.name").alias("name"), F.col("first.ts").alias("first_seen"), "last_seen", F.struct("first.msg", "first.rule", "first.hit").alias("place"))

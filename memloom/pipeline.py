@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom import schemas
 from memloom.functions.vector import HashedTrigrams, claim_text, entity_text
-from memloom.operators import dedup, extract, graph, retrieve, threads
+from memloom.operators import dedup, extract, graph, model_extract, retrieve, threads
 from memloom.operators.scratch import Scratch
 from memloom.sources.mail import Stage, write_json
 
 
-def extraction_tables(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entities, claims) of schemas.ENTITY and schemas.CLAIM from the rules; ids and order follow from the messages."""
+def extraction_tables(messages: DataFrame, model: Callable[[str], str | None] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entities, claims) of schemas.ENTITY and schemas.CLAIM from the rules and, if there is one, a language model; ids and order follow from the messages."""
     found = extract.rule_claims(messages)
+    if model is not None:
+        found = Scratch(messages.sparkSession, "model").write(model_extract.extracted(messages, found, model), "claims")
     made = extract.rule_entities(messages, found)
     rank = F.xxhash64("thread_id").bitwiseAND(F.lit((1 << 30) - 1)) * F.lit(1 << 33)
     eid = schemas.stable_id(F.col("thread_id"), F.col("key"))
@@ -36,7 +40,7 @@ def extraction_tables(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ents.drop("thread_id", "key"), claims
 
 
-def run(spark: SparkSession, messages: DataFrame, out: str, *, questions: list[str] = (), least: int = schemas.THREAD_MIN, most: int = schemas.THREAD_MAX, target: int = schemas.THREAD_TARGET, similarity: float = schemas.SIMILARITY, skip_extract: bool = False) -> dict[str, object]:
+def run(spark: SparkSession, messages: DataFrame, out: str, *, questions: list[str] = (), least: int = schemas.THREAD_MIN, most: int = schemas.THREAD_MAX, target: int = schemas.THREAD_TARGET, similarity: float = schemas.SIMILARITY, skip_extract: bool = False, model: Callable[[str], str | None] | None = None) -> dict[str, object]:
     """Every stage is a written table; ``skip_extract`` uses an extraction that is there already."""
     scratch = Scratch(spark, "build")
     entities, claims = Stage(spark, f"{out}/extracted/entities", "id"), Stage(spark, f"{out}/extracted/claims", "id")
@@ -44,7 +48,7 @@ def run(spark: SparkSession, messages: DataFrame, out: str, *, questions: list[s
         chosen, mail = threads.select_threads(messages, least=least, most=most, target=target)
         chosen.write.mode("overwrite").parquet(f"{out}/threads")
         mail = scratch.write(mail.drop("insert_ord"), "mail")
-        e, c = extraction_tables(mail)
+        e, c = extraction_tables(mail, model)
         e.write.mode("overwrite").parquet(entities.path)
         c.write.mode("overwrite").parquet(claims.path)
     embed = HashedTrigrams()

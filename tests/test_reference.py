@@ -342,3 +342,16 @@ def test_retraction_and_acl(spark):
     acl = spark.createDataFrame([("ann", "k")], "principal string, source_id string")
     assert [r.id for r in ingest.visible_claims(df, acl, "ann").collect()] == ["c0"]
     assert [r.id for r in ingest.durable_claims(df).collect()] == ["c0"]
+
+
+def test_model_claims_come_before_rules(spark):
+    from memloom.pipeline import extraction_tables
+
+    m = mails(spark, [(1, "a", "", [], "jo.day@x.org", "sam@y.com", "Plan", "2001", "the CFO said so")]).withColumn("thread_id", F.lit("t"))
+    reply = '{"entities": [{"name": "Jo Day", "type": "Person"}, {"name": "CFO", "type": "role"}], "claims": [{"subject": "Jo Day", "relation": "has_role", "object": "cfo", "confidence": 0.9, "quote": "the CFO", "email_id": "e1"}]}'
+    ents, found = extraction_tables(m, lambda prompt: reply)
+    got = [(r.relation, r.object_name, r.confidence) for r in found.orderBy("seq").collect()]
+    assert got == [("has_role", "cfo", 0.9), ("sent_email", "Sam", 1.0)]
+    assert {(r.name, r.type) for r in ents.collect()} == {("Enron", "Organisation"), ("Jo Day", "Person"), ("cfo", "Role"), ("Sam", "Person")}
+    ents, found = extraction_tables(m)
+    assert [r.relation for r in found.orderBy("seq").collect()] == ["sent_email", "has_role"]
