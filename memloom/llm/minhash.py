@@ -5,15 +5,16 @@
    each minimum. Documents with equal sets become one representative.
 2. Representatives that share a band key are candidates. Their similarity is
    estimated from the signatures by bit counts, corrected for chance agreement of the low bits;
-   pairs more than five standard deviations below the threshold are dropped.
+   pairs more than four standard deviations below the threshold are dropped.
 3. Estimated pairs are confirmed on the full shingle sets.
 
 A bucket never yields all its pairs. First only its members against one hub are confirmed,
-which makes most buckets one component. In what is left, members of different
-components are compared by signature inside blocks of bounded size, and only the best few
-pairs of a member and a foreign component are confirmed; the number grows fourfold
-until no pair above the cut is untested. So every link between components is found,
-however large a bucket is.
+which makes most buckets one component. In what is left, members of different components are
+compared by signature inside blocks of bounded size; members that have a partner above the cut are
+marked, one row each. Marked members meet once more, now with their full sets, and each block
+joins them by confirmed links and reports only links that joined something. A pair counts in the first band
+that it shares. So every link between components is found, however large a bucket is,
+and no stage makes more rows than the buckets have members.
 
 At a similarity of exactly 0.8 a pair shares no band with probability 3e-6.
 
@@ -42,9 +43,8 @@ WORDS, PERCENT = 5, 80
 BANDS, ROWS, BITS = 32, 5, 2
 MINIMA = BANDS * ROWS
 PLANE = -(-MINIMA // 64)
-BLOCK = 4096
-FIRST_BEST = 4
-SIGMAS = 5.0
+BLOCK, BLOCK_BYTES = 4096, 16 << 20
+SIGMAS = 4.0
 _SCALE, _SHIFT = at.odd_constants(MINIMA, 501), at.odd_constants(MINIMA, 502)
 _BAND = at.odd_constants(ROWS, 503)
 
@@ -140,53 +140,82 @@ def _set_maker(words: int):
     return run
 
 
-def bucket_pairs(rows: dict[str, np.ndarray], marks: np.ndarray, percent: int, hub_only: bool, best: int) -> tuple[list[tuple[int, int]], bool]:
-    """Candidate pairs of one block of a bucket, and whether some were left out because ``best`` was reached."""
-    ids, comps, sizes = rows["id"], rows["comp"], rows["n"]
-    cut, pairs, more = lowest_estimate(percent), [], False
-    kinds, back, counts = np.unique(comps, return_inverse=True, return_counts=True)
-    if len(kinds) < 2:
-        return pairs, more
-    largest = int(counts.argmax())
-    todo = [int(ids.argmin())] if hub_only else np.flatnonzero(back != largest).tolist()
-    for i in todo:
-        other = np.flatnonzero((back != back[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])))
-        if not len(other):
-            continue
-        near = estimates(marks[i], marks[other])
-        other, near = other[near >= cut], near[near >= cut]
-        if hub_only:
-            chosen = other
-        else:
-            order = np.lexsort((-near, back[other]))
-            other = other[order]
-            kind = back[other]
-            begin = np.searchsorted(kind, kind)
-            place = np.arange(len(kind)) - begin
-            chosen = other[place < best]
-            more |= bool((place >= best).any())
-        pairs += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in chosen.tolist()]
-    return pairs, more
-
-
-def _pairer(percent: int, hub_only: bool, best: int):
-    def flush(parts: list[pa.RecordBatch]) -> tuple[list[tuple[int, int]], bool]:
-        table = pa.Table.from_batches(parts)
-        rows = {c: table.column(c).to_numpy() for c in ("id", "comp", "n")}
-        marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint64).reshape(len(table), -1)
-        return bucket_pairs(rows, marks, percent, hub_only, best)
+class Block:
+    """The rows of one bucket's block (or pair of blocks) that were sent together."""
 
+    def __init__(self, parts: list[pa.RecordBatch], percent: int) -> None:
+        table = pa.Table.from_batches(parts)
+        self.key = table.column("key")[0].as_py()
+        self.ids, self.comps, self.sizes = (table.column(c).to_numpy() for c in ("id", "comp", "n"))
+        self.marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint64).reshape(len(table), -1)
+        lists = {c: table.column(c).combine_chunks() for c in ("bands", "grams") if c in table.column_names}
+        self.bands = lists["bands"].flatten().to_numpy().reshape(len(table), BANDS) if "bands" in lists else None
+        if "grams" in lists:
+            self.edges = np.concatenate([[0], np.cumsum(self.sizes)])
+            self.grams = lists["grams"].flatten().to_numpy()
+        self.percent, self.cut = percent, lowest_estimate(percent)
+
+    def partners(self, i: int, comp: np.ndarray, at_least: int = 0) -> np.ndarray:
+        """Rows from ``at_least`` on that may be similar to row i, are in another component, and meet it here first."""
+        sizes = self.sizes
+        other = at_least + np.flatnonzero((comp[at_least:] != comp[i]) & (100 * np.minimum(sizes[at_least:], sizes[i]) >= self.percent * np.maximum(sizes[at_least:], sizes[i])))
+        if len(other):
+            other = other[estimates(self.marks[i], self.marks[other]) >= self.cut]
+        if len(other) and self.bands is not None:
+            first = (self.bands[other] == self.bands[i]).argmax(1)
+            other = other[self.bands[i, first] == self.key]
+        return other
+
+    def hub_pairs(self) -> list[tuple[int, ...]]:
+        """(a, b) of the smallest id and what may be similar to it."""
+        hub = int(self.ids.argmin())
+        return [(int(self.ids[hub]), int(self.ids[j])) for j in self.partners(hub, self.comps) if self.ids[j] != self.ids[hub]]
+
+    def marked(self) -> list[tuple[int, ...]]:
+        """(key, id) of all rows that have a partner."""
+        seen = np.zeros(len(self.ids), bool)
+        for i in range(len(self.ids)):
+            other = self.partners(i, self.comps, i + 1)
+            if len(other):
+                seen[i] = seen[other] = True
+        return [(self.key, int(x)) for x in np.unique(self.ids[seen])]
+
+    def links(self) -> list[tuple[int, ...]]:
+        """(component, component) of confirmed links that joined something inside this block."""
+        comp, out = self.comps.copy(), []
+        for i in range(len(self.ids)):
+            other = self.partners(i, comp, i + 1)
+            if not len(other):
+                continue
+            own = self.grams[self.edges[i] : self.edges[i + 1]]
+            rows = spread(self.edges[other], self.sizes[other])
+            place = np.searchsorted(own, self.grams[rows])
+            place[place == len(own)] = 0
+            same = np.add.reduceat((own[place] == self.grams[rows]).astype(np.int64), np.cumsum(self.sizes[other]) - self.sizes[other])
+            good = other[100 * same >= self.percent * (len(own) + self.sizes[other] - same)]
+            for c in np.unique(comp[good]).tolist():
+                if c != comp[i]:
+                    out.append((int(min(c, comp[i])), int(max(c, comp[i]))))
+                    comp[comp == c] = comp[i]
+        return out
+
+
+def spread(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first[k], first[k] + 1, ... for counts[k] values each."""
+    total = np.cumsum(counts)
+    return np.arange(total[-1]) - np.repeat(total - counts, counts) + np.repeat(first, counts)
+
+
+def _by_block(percent: int, method: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (key, block); one block's rows are held at a time."""
         parts: list[pa.RecordBatch] = []
         at_ = None
-        found: set[tuple[int, int]] = set()
-        more = False
+        found: set[tuple[int, ...]] = set()
 
-        def out(pairs: set[tuple[int, int]], flag: bool) -> pa.RecordBatch:
-            a, b = zip(*pairs) if pairs else ((), ())
-            rows = (list(a) + [None] * flag, list(b) + [None] * flag)
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64())], ["a", "b"])
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*found)) if found else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names)
 
         for batch in batches:
             key, block = batch.column("key").to_numpy(), batch.column("block").to_numpy()
@@ -197,36 +226,45 @@ def _pairer(percent: int, hub_only: bool, best: int):
                     continue
                 here = (int(key[a]), int(block[a]))
                 if here != at_ and parts:
-                    pairs, cut_off = flush(parts)
-                    found.update(pairs)
-                    more |= cut_off
+                    found.update(getattr(Block(parts, percent), method)())
                     parts = []
                 at_ = here
                 parts.append(batch.slice(a, b - a))
             if len(found) > 50_000:
-                yield out(found, False)
+                yield out()
                 found = set()
         if parts:
-            pairs, cut_off = flush(parts)
-            found.update(pairs)
-            more |= cut_off
-        yield out(found, more)
+            found.update(getattr(Block(parts, percent), method)())
+        yield out()
 
     return run
 
 
-def candidate_pairs(members: DataFrame, percent: int, hub_only: bool, best: int) -> DataFrame:
-    """Pairs (a, b) to confirm; a pair of nulls says that some were left out. ``members``: key, count, id, comp, n, signature."""
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    if hub_only:
-        dealt = members.withColumn("block", own.cast("long"))
-    else:
-        other = F.explode(F.sequence(F.lit(0), blocks - 1))
-        dealt = members.withColumn("own", own).withColumn("other", other)
-        dealt = dealt.withColumn("block", F.least("own", "other").cast("long") * 1_000_000 + F.greatest("own", "other"))
-    rows = dealt.select("key", "block", "id", "comp", "n", "signature")
-    return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_pairer(percent, hub_only, best), "a long, b long").distinct()
+def hub_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every block's smallest id with what may be similar to it. ``members``: key, count, id, comp, n, signature."""
+    own = F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / BLOCK).cast("int")).cast("long")
+    rows = members.withColumn("block", own).select("key", "block", "id", "comp", "n", "signature")
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_by_block(percent, "hub_pairs", ["a", "b"]), "a long, b long").distinct()
+
+
+def _met(members: DataFrame, blocks, columns: list[str]) -> DataFrame:
+    """Rows dealt so that each two blocks of a bucket meet once; ``blocks`` is the bucket's number of blocks."""
+    dealt = members.withColumn("blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("block", F.least("own", "other").cast("long") * 1_000_000 + F.greatest("own", "other"))
+    return dealt.select("key", "block", *columns).repartition("key", "block").sortWithinPartitions("key", "block")
+
+
+def marked_members(members: DataFrame, percent: int) -> DataFrame:
+    """(key, id) of members with a partner of another component. ``members``: key, count, id, comp, n, signature, bands."""
+    rows = _met(members, F.ceil(F.col("count") / BLOCK), ["id", "comp", "n", "signature", "bands"])
+    return rows.mapInArrow(_by_block(percent, "marked", ["key", "id"]), "key long, id long").distinct()
+
+
+def joining_links(members: DataFrame, percent: int) -> DataFrame:
+    """(ca, cb): links between components, confirmed on full sets. ``members``: key, bytes, id, comp, n, signature, bands, grams."""
+    rows = _met(members, F.ceil(F.col("bytes") / BLOCK_BYTES), ["id", "comp", "n", "signature", "bands", "grams"])
+    return rows.mapInArrow(_by_block(percent, "links", ["ca", "cb"]), "ca long, cb long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -243,45 +281,38 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     scratch = Scratch(spark, "near")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketches = scratch.write(texts.mapInArrow(_sketcher(words), "id long, n long, d1 long, d2 long, signature binary, bands array<long>"), "sketches")
-    marked = salted(sketches.select("id", "n", "d1", "d2"), "id")
-    groups = scratch.write(marked.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), salt_set()), "groups")
+    rows = salted(sketches.select("id", "n", "d1", "d2"), "id")
+    groups = scratch.write(rows.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), salt_set()), "groups")
 
     reps = sketches.join(groups.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     keyed = reps.select("id", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    # Written before they are joined: a join of two plain shuffles can be split where a key is hot.
+    shared = scratch.write(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1"), "shared")
     bucket = scratch.write(keyed.join(shared, "key"), "bucket")
     busy = scratch.write(bucket.select("id").distinct(), "busy")
-    sketch = scratch.write(sketches.join(busy, "id", "left_semi").select("id", "n", "signature").dropDuplicates(["id"]), "sketch")
+    sketch = scratch.write(sketches.join(busy, "id", "left_semi").select("id", "n", "signature", "bands").dropDuplicates(["id"]), "sketch")
     sets = scratch.write(texts.join(busy, "id", "left_semi").mapInArrow(_set_maker(words), "id long, grams array<long>").dropDuplicates(["id"]), "sets")
 
-    members = bucket.join(sketch, "id").withColumn("comp", F.col("id"))
-    tested = scratch.write(candidate_pairs(members, percent, True, 0), "pairs-0").where("a is not null")
-    edges = scratch.write(confirmed(tested, sets, percent), "links-0")
-    best, turn = FIRST_BEST, 0
-    while True:
-        labels = connected_components(edges, scratch=scratch, label=f"cc-{turn}")
-        turn += 1
-        joined = bucket.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-        mixed = joined.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        members = joined.join(mixed, "key").join(sketch, "id")
-        pairs = scratch.write(candidate_pairs(members, percent, False, best), f"pairs-{turn}")
-        fresh = scratch.write(pairs.where("a is not null").join(tested, ["a", "b"], "left_anti"), f"fresh-{turn}")
-        more = not pairs.where("a is null").isEmpty()
-        if fresh.isEmpty():
-            if not more:
-                break
-            best *= 4
-            continue
-        found = scratch.write(confirmed(fresh, sets, percent), f"links-{turn}")
-        tested, edges = tested.unionByName(fresh), edges.unionByName(found)
-        if found.isEmpty() and not more:
-            break
-        best *= 4
+    members = bucket.join(sketch.drop("bands"), "id").withColumn("comp", F.col("id"))
+    pairs = scratch.write(hub_pairs(members, percent), "pairs")
+    links = scratch.write(confirmed(pairs, sets, percent), "hub-links")
+    labels = connected_components(links, scratch=scratch, label="hub")
+    joined = bucket.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "count", F.coalesce("component", "id").alias("comp"))
+    joined = scratch.write(joined, "joined")
+    mixed = scratch.write(joined.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"), "mixed")
+    members = joined.join(mixed, "key").join(sketch, "id")
+    marked = scratch.write(marked_members(members, percent), "marked")
+    sizes = scratch.write(marked.join(sketch.select("id", "n"), "id").groupBy("key").agg((F.sum("n") * 8).alias("bytes")), "sizes")
+    meeting = marked.join(joined.select("key", "id", "comp"), ["key", "id"]).join(sizes, "key").join(sketch, "id").join(sets, "id")
+    links = scratch.write(joining_links(meeting, percent), "links")
+    step = connected_components(links, a="ca", b="cb", scratch=scratch, label="all")
+    moved = labels.join(step.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    labels = scratch.write(moved.unionByName(step.join(labels.select("node"), "node", "left_anti")), "labels")
 
     ends = groups.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     ends = by_salt(ends.select("d1", "d2", "__salts", F.coalesce("component", "rep").alias("component_id")))
-    known = marked.where("n > 0 and id is not null").join(ends, ["d1", "d2", "__salt"]).select("id", "n", "component_id")
-    alone = marked.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
+    known = rows.where("n > 0 and id is not null").join(ends, ["d1", "d2", "__salt"]).select("id", "n", "component_id")
+    alone = rows.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
     return known.unionByName(alone).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
     )
