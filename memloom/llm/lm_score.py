@@ -105,7 +105,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Both models, counted over all documents; the target is the documents labelled ``wanted``."""
     target = labels.where(F.col(label_col) == wanted).select(F.col(id_col).alias("__id")).where("__id is not null").distinct()
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
-    both = texts.join(target, F.col("__doc") == F.col("__id"), "left")
+    # A merge join at every size: labels grow with the corpus, so they are never broadcast.
+    both = texts.join(target.hint("merge"), F.col("__doc") == F.col("__id"), "left")
     counts = trigram_counts(both, F.col("__id").isNotNull()).toArrow()
     gram = counts.column("gram").to_numpy()
     tables = []
