@@ -129,11 +129,12 @@ def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, gram: int = G
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     suffixes = texts.mapInArrow(_stretcher(min_words, gram), "id long, first int, last int, begin int, end int, gram long, stretch long")
     suffixes = scratch.write(suffixes, "suffixes")
-    shared = suffixes.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("gram")
+    # Written, so that the join below reads two plain shuffles and a gram that many rows have can be split.
+    shared = scratch.write(suffixes.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("gram"), "shared")
     kept = scratch.write(salted(suffixes.join(shared, "gram"), "id"), "kept")
     stretches = kept.groupBy("stretch").agg(F.first("gram").alias("gram"), F.min("id").alias("owner"), F.max("id").alias("high"), F.min(F.struct("id", "first", "last")).alias("one"), salt_set())
     stretches = scratch.write(stretches.withColumn("many", F.col("owner") < F.col("high")), "stretches")
-    varied = stretches.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("gram")
+    varied = scratch.write(stretches.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("gram"), "varied")
     open_ = scratch.write(stretches.join(varied, "gram").select("stretch", "owner", "many", "one", "__salts"), "open")
 
     look = open_.where("many").select("one.id", "one.first", "one.last", "stretch", "owner", "many")
