@@ -284,8 +284,10 @@ def assign_sequences(pieces: DataFrame, *, capacity: int = CAPACITY, keys: tuple
     before = Window.partitionBy(length_col).orderBy("__share").rowsBetween(Window.unboundedPreceding, -1)
     begin = counts.select(F.col(length_col).alias("__len"), F.col("__share").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__begin"))
     numbered = numbered.join(begin, (F.col(length_col) == F.col("__len")) & (F.col("__share") == F.col("__of"))).withColumn("__rank", F.col("__number") + F.col("__begin"))
-    # A length's places are consecutive ranges of ranks: at most a few hundred per length, so they go as one sorted array.
+    # A length's places are consecutive ranges of ranks, a row for each length. Written, so that its size is known: it is
+    # broadcast if it is small enough, and else joined as a plain shuffle in which a hot length can be split.
     ranges = places.groupBy("len").agg(F.array_sort(F.collect_list(F.struct("low", "high", "first_sequence", "offset"))).alias("__places"))
+    ranges = Scratch(spark, "pack").write(ranges.coalesce(1), "ranges")
     found = numbered.join(ranges, F.col(length_col) == F.col("len"))
     own = F.element_at(F.filter("__places", lambda p: (p["low"] <= F.col("__rank")) & (F.col("__rank") < p["high"])), 1)
     found = found.withColumn("__own", own)
