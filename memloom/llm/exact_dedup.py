@@ -65,13 +65,17 @@ def disk_state(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def salt_of(id_: Column) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(SALTS)).cast("int").alias("salt")
+
+
 def arrivals(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     """What the stream reads for each document: no text, only where it is."""
     body = normalised(F.col(text_col))
     return docs.select(
         F.col(id_col).alias("id"), digest(body).alias("digest"), sha256(body).alias("sha256"),
         F.length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long").alias("n_chars"),
-        F.input_file_name().alias("file"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int").alias("salt"),
+        F.input_file_name().alias("file"), salt_of(F.col(id_col)),
     )
 
 
@@ -107,13 +111,14 @@ def duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     else:
         groups = scratch.write(run_stream(spark, f"{scratch.path}/arrivals", came.schema, f"{scratch.path}/state", bytes_per_batch), "groups")
 
-    content = docs.select(F.col(id_col).alias("id"), digest(normalised(F.col(text_col))).alias("digest"), normalised(F.col(text_col)).alias("body"))
-    hits = content.join(groups.where("group_size > 1").select("digest"), "digest")
+    present = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("salts", k) == 1)
+    spread = groups.withColumn("salt", F.explode(present))
+    content = docs.select(F.col(id_col).alias("id"), digest(normalised(F.col(text_col))).alias("digest"), normalised(F.col(text_col)).alias("body"), salt_of(F.col(id_col)))
+    hits = content.join(spread.where("group_size > 1").select("digest", "salt"), ["digest", "salt"])
     variants = hits.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n")).groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
     collided = scratch.write(variants.where("texts > 1").select("digest"), "collided")
 
-    present = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("salts", k) == 1)
-    found = came.join(groups.select("digest", "keep_id", "group_size", F.explode(present).alias("salt")), ["digest", "salt"])
+    found = came.join(spread.select("digest", "keep_id", "group_size", "salt"), ["digest", "salt"])
     if not collided.isEmpty():
         inside = came.join(collided, "digest", "left_semi").select("id", "digest", "sha256", "n_chars")
         bodies = inside.join(content.join(collided, "digest", "left_semi"), ["id", "digest"]).dropDuplicates()
