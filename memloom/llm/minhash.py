@@ -152,7 +152,8 @@ class Block:
         self.bands = lists["bands"].flatten().to_numpy().reshape(len(table), BANDS) if "bands" in lists else None
         if "grams" in lists:
             self.edges = np.concatenate([[0], np.cumsum(self.sizes)])
-            self.grams = lists["grams"].flatten().to_numpy()
+            # Sets are sorted as unsigned numbers, Spark has them signed.
+            self.grams = lists["grams"].flatten().to_numpy().view(np.uint64)
         self.percent, self.cut = percent, lowest_estimate(percent)
 
     def partners(self, i: int, comp: np.ndarray, at_least: int = 0) -> np.ndarray:

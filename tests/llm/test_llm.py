@@ -293,6 +293,34 @@ def test_near_duplicates_against_brute_force(spark, odd_docs, no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0
 
 
+def test_joining_links_without_a_common_hub(spark):
+    """A bucket of families that the hub step leaves apart; their chains are joined by pairs of other members."""
+    rng = np.random.default_rng(11)
+    sets = []
+    for _ in range(4):
+        pool = rng.integers(0, 1 << 64, 700, dtype=np.uint64)
+        sets += [np.unique(pool[10 * k : 10 * k + 200]) for k in range(12)]
+    ids = rng.permutation(len(sets))
+    least = minhash.minima(np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])]))
+    marks, keys = minhash.packed(least), minhash.band_keys(least).view(np.int64)
+    members_ = [(int(key), int(i), int(i), len(s), bytearray(m.tobytes()), k.tolist(), s.view(np.int64).tolist()) for i, s, m, k in zip(ids, sets, marks, keys) for key in k]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    assert len(pairs) > 40
+    for size in (1, 3 * minhash.BLOCK_BYTES):
+        members = spark.createDataFrame([(key, size, *rest) for key, *rest in members_], "key long, bytes long, id long, comp long, n long, signature binary, bands array<long>, grams array<long>")
+        got = {tuple(r) for r in minhash.joining_links(members, 80).collect()}
+        assert got <= {(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for i in range(len(sets)) for j in range(i) if i // 12 == j // 12}
+        assert joined(len(sets), got) == joined(len(sets), [(int(ids[i]), int(ids[j])) for i, j in pairs])
+
+
+def joined(n, links):
+    low = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    return low
+
+
 def test_estimates_are_unbiased():
     rng = np.random.default_rng(2)
     errors = []
