@@ -28,6 +28,7 @@ from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -218,35 +219,77 @@ def improving_exchange(a: Pattern, b: Pattern, capacity: int) -> tuple[Pattern,
     return tuple(sorted(left.elements(), reverse=True)), tuple(sorted(right.elements(), reverse=True))
 
 
-def local_search(bins: Bins, rounds: int = 4000, partners: int = 60) -> int:
-    """Exchange pieces between underfull bins until nothing raises the squared fill or no fewer bins can do; the number of exchanges."""
-    done = 0
-    least = -(-sum(f * n for f, held in bins.by_fill.items() for n in held.values()) // bins.capacity)
-    stuck: set[tuple[Pattern, Pattern]] = set()
-    while done < rounds and bins.total() > least:
-        under = [p for f in bins.fills if f < bins.capacity for p in bins.by_fill[f]]
-        progress = False
-        for b in under[:partners]:
-            for a in reversed(under[-partners:]):
-                n_b = bins.by_fill.get(sum(b), {}).get(b, 0)
-                n_a = bins.by_fill.get(sum(a), {}).get(a, 0)
-                if not n_a or not n_b or (a == b and n_a < 2) or sum(a) < sum(b) or (a, b) in stuck:
-                    continue
-                new = improving_exchange(a, b, bins.capacity)
-                if new is None:
-                    stuck.add((a, b))
-                    continue
-                n = n_a // 2 if a == b else min(n_a, n_b)
-                bins.take(a, n)
-                bins.take(b, n)
-                for pattern in new:
-                    bins.add(pattern, n)
-                done += 1
-                progress = True
-                if done >= rounds:
-                    return done
-        if not progress:
-            return done
+def wanted_sums(a: Pattern, capacity: int) -> int:
+    """Bit s is set if ``a`` could take pieces of sum s in an exchange that fills it more."""
+    room, bits = (1 << capacity - sum(a)) - 1, 0
+    for give in {0, *a}:
+        bits |= room << give + 1
+    return bits
+
+
+def offered_sums(b: Pattern) -> int:
+    """Bit s is set if one or two pieces of ``b`` have the sum s."""
+    bits = 0
+    for i, x in enumerate(b):
+        bits |= 1 << x
+        for y in b[i + 1 :]:
+            bits |= 1 << x + y
+    return bits
+
+
+def local_search(bins: Bins) -> int:
+    """Exchange pieces between underfull bins until nothing raises the squared fill or no fewer bins can do; the number of exchanges.
+
+    A pattern that is new or has become more frequent waits; it is tried with all underfull patterns, and leaves when
+    none has an exchange with it. So when none waits, no two bins have one.
+    """
+    done, capacity, total = 0, bins.capacity, bins.total()
+    least = -(-sum(f * n for f, held in bins.by_fill.items() for n in held.values()) // capacity)
+    wanted: dict[Pattern, int] = {}
+    offered: dict[Pattern, int] = {}
+    waiting: list[tuple[int, Pattern]] = []
+
+    def enter(pattern: Pattern) -> None:
+        if pattern and sum(pattern) < capacity:
+            if pattern not in wanted:
+                wanted[pattern], offered[pattern] = wanted_sums(pattern, capacity), offered_sums(pattern)
+            heappush(waiting, (sum(pattern), pattern))
+
+    def held(pattern: Pattern) -> int:
+        return bins.by_fill.get(sum(pattern), {}).get(pattern, 0)
+
+    def partner(p: Pattern) -> tuple[Pattern, Pattern] | None:
+        """The fullest underfull pattern that has an exchange with ``p``, as (fuller, emptier)."""
+        fill, want, offer = sum(p), wanted[p], offered[p]
+        for f in reversed(bins.fills):
+            if f < capacity:
+                for q, n in bins.by_fill[f].items():
+                    if f >= fill and wanted[q] & offer and (q != p or n > 1):
+                        return q, p
+                    if f <= fill and want & offered[q] and (q != p or n > 1):
+                        return p, q
+        return None
+
+    for f in bins.fills:
+        if f < capacity:
+            for p in bins.by_fill[f]:
+                enter(p)
+    while waiting and total > least:
+        p = heappop(waiting)[1]
+        while held(p) and total > least and (pair := partner(p)):
+            a, b = pair
+            new = improving_exchange(a, b, capacity)
+            n = held(a) // 2 if a == b else min(held(a), held(b))
+            bins.take(a, n)
+            bins.take(b, n)
+            for pattern in new:
+                bins.add(pattern, n)
+                enter(pattern)
+                total -= n * (not pattern)
+            for pattern in {a, b}:
+                if not held(pattern):
+                    wanted.pop(pattern, None), offered.pop(pattern, None)
+            done += 1
     return done
 
 

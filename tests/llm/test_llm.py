@@ -154,6 +154,21 @@ def test_local_search_frees_bins():
     assert sum((Counter({x: c * n for x, c in Counter(p).items()}) for p, n in made), Counter()) == Counter({7: 3, 3: 3, 10: 2, 5: 1})
 
 
+def test_local_search_ends_at_a_local_optimum():
+    """Sixty emptiest and sixty fullest bins without an exchange among them; those in between have some."""
+    start = [*((x,) for x in range(501, 561)), (300, 280), (400, 200), *((x,) for x in range(900, 960))]
+    bins = packing.Bins(1000)
+    for pattern in start:
+        bins.add(pattern, 1)
+    assert packing.local_search(bins) > 0
+    found = {p: n for held in bins.by_fill.values() for p, n in held.items()}
+    assert Counter(x for p, n in found.items() for x in p * n) == Counter(x for p in start for x in p)
+    for a in found:
+        for b in found:
+            if sum(a) >= sum(b) and (a != b or found[a] > 1):
+                assert packing.improving_exchange(a, b, 1000) is None
+
+
 def test_special_strings_in_texts():
     from tokenizers import Tokenizer
 
