@@ -369,17 +369,23 @@ def merge_log_summary(spark, sf):
     return browse.merge_summary(dedup.exact_merges(_parts(spark, sf)))
 
 
-@query()
-def undo_merge_roundtrip(spark, sf):
-    """Merge one key's claims, undo the last merge, and compare with the snapshots."""
-    claims = event_claims(spark, sf).where("subject_id = 'u1'")
+def undone_last_merge(spark, sf):
+    """All event claims merged and the last merge of the whole log undone: the store, the log before, the undone record and the result."""
+    claims = event_claims(spark, sf)
     scratch = Scratch(spark, "undo")
     merged = scratch.write(dedup.merged_claims(claims).drop("occurrences", "key"), "claims")
     log = scratch.write(dedup.claim_merges(claims), "log")
     store = MemoryStore(spark.createDataFrame([], "id string, name string, type string, aliases array<string>"), merged, log)
-    one = log.orderBy("id").first()
-    undone = store.undo_merge(one.id)
-    back = store.claims.where(F.col("id").isin(one.winner_id, one.loser_id)).count()
+    order = claims.select(F.col("id").alias("loser_id"), "seq")
+    one = log.join(order, "loser_id").orderBy(F.desc("timestamp"), F.desc("seq")).first()
+    return store, log, one, one is not None and store.undo_merge(one.id)
+
+
+@query()
+def undo_merge_roundtrip(spark, sf):
+    """Merge all claims, undo the last merge, and compare with the snapshots."""
+    store, log, one, undone = undone_last_merge(spark, sf)
+    back = store.claims.where(F.col("id").isin(one.winner_id, one.loser_id)).count() if one else 0
     return spark.createDataFrame([(undone, back, store.merge_log.count() - log.count())], "undone boolean, restored long, log_change long")
 
 

@@ -38,6 +38,32 @@ def test_query(spark, con, name):
     assert sorted(repr(tuple(cell(r[c]) for c in sorted(cols))) for r in rows) == want
 
 
+def test_undo_covers_all_users(spark, tmp_path):
+    """Merging, logging and undoing run over every user's claims, here without a user 1."""
+    from datetime import datetime, timedelta
+
+    from memloom.plans.queries import undone_last_merge
+
+    rows = [(i, i // 3, 2 + i % 3, "ab"[i % 5 % 2], 7.0 * (i * 11 % 13)) for i in range(24)]
+    start = datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, start + timedelta(hours=h), u, t, v, "{}") for i, h, u, t, v in rows], "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    groups = {}
+    for i, _, u, t, v in rows:  # by time and number
+        groups.setdefault((u, t), []).append((i, min(1.0, v / 100)))
+    lost = {i: g for g in groups.values() for i, _ in g[:-1]}
+    last = max(lost)
+    want = {f"k{g[-1][0]}": max(c for _, c in g) for g in groups.values()}
+    group = lost[last]
+    want[f"k{group[-1][0]}"] = max([group[-1][1], *(c for i, c in group if i < last)])
+    want[f"k{last}"] = dict(group)[last]
+    store, log, one, undone = undone_last_merge(spark, str(tmp_path))
+    assert undone and one.loser_id == f"k{last}" and {r.loser_id for r in log.collect()} == {f"k{i}" for i in lost}
+    assert {r.id: round(r.confidence, 9) for r in store.claims.collect()} == {k: round(c, 9) for k, c in want.items()}
+    assert {r.loser_id for r in store.merge_log.collect()} == {f"k{i}" for i in lost if i != last}
+    assert [tuple(r) for r in QUERIES["undo_merge_roundtrip"](spark, str(tmp_path)).collect()] == [(True, 2, -1)]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
