@@ -8,17 +8,57 @@ memory: a slice ends at ``SLICE_BYTES`` unless one text alone is longer.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 1 << 20
+#: Texts that one Arrow batch holds at most, unless one row alone is longer; the session's own setting goes before it.
+BATCH_BYTES = 4 << 20
 _BASE, _LIMIT = 0x9E3779B97F4A7C15 | 1, 1 << 64
 _INVERSE = pow(_BASE, -1, _LIMIT)
 _powers: dict[str, np.ndarray] = {}
 
 
+@cache
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again by later stages, which should not find it taken."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes where the session has no bound of its own (a batch of long texts is held by the JVM and the worker)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes; each task gives its memory back when it ends."""
+    bounded_batches(df.sparkSession)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)

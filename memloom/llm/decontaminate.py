@@ -184,7 +184,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WI
                 yield pa.RecordBatch.from_arrays(columns, ["id", *out])
 
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return found.mapInArrow(run, f"id {kind}, {MATCH_SCHEMA}").withColumnRenamed("id", id_col)
+    return at.mapped(found, run, f"id {kind}, {MATCH_SCHEMA}").withColumnRenamed("id", id_col)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
@@ -197,4 +197,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int =
             if clean:
                 yield batch.filter(pa.concat_arrays(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return at.mapped(docs, run, docs.schema)

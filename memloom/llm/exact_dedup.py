@@ -52,7 +52,8 @@ def disk_state(spark: SparkSession):
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     }
     before = {k: spark.conf.get(k, None) for k in want}

@@ -98,7 +98,7 @@ def trigram_counts(docs: DataFrame, is_target: Column, text_col: str = "text") -
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found].astype(np.int64)), pa.array(target[found].astype(np.int64))], ["gram", "n", "n_target"])
 
     texts = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(is_target, F.lit(False)).alias("target"))
-    return texts.mapInArrow(run, "gram int, n long, n_target long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    return at.mapped(texts, run, "gram int, n long, n_target long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", wanted: int = 1) -> Models:
@@ -139,7 +139,7 @@ def scored(docs: DataFrame, models: Models, *, id_col: str = "doc_id", text_col:
                 n, target, background = _row_losses(shared.value, data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(low, high - low), pa.array(n), pa.array(target), pa.array(background)], ["id", "n", "target", "background"])
 
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n long, target double, background double")
+    found = at.mapped(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), run, f"id {kind}, n long, target double, background double")
     mean = lambda c: F.when(F.col("n") > 0, c / F.col("n"))
     return found.select(
         F.col("id").alias(id_col), F.col("n").alias("n_tokens"), mean(F.col("target")).alias("target_loss"), mean(F.col("background")).alias("background_loss"),
@@ -160,4 +160,4 @@ def select_like_target(docs: DataFrame, models: Models, *, most: float = 0.0, te
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return at.mapped(docs, run, docs.schema)

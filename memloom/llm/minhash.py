@@ -245,7 +245,7 @@ def hub_pairs(members: DataFrame, percent: int) -> DataFrame:
     """(a, b): every block's smallest id with what may be similar to it. ``members``: key, count, id, comp, n, signature."""
     own = F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / BLOCK).cast("int")).cast("long")
     rows = members.withColumn("block", own).select("key", "block", "id", "comp", "n", "signature")
-    return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_by_block(percent, "hub_pairs", ["a", "b"]), "a long, b long").distinct()
+    return at.mapped(rows.repartition("key", "block").sortWithinPartitions("key", "block"), _by_block(percent, "hub_pairs", ["a", "b"]), "a long, b long").distinct()
 
 
 def _met(members: DataFrame, blocks, columns: list[str]) -> DataFrame:
@@ -259,13 +259,13 @@ def _met(members: DataFrame, blocks, columns: list[str]) -> DataFrame:
 def marked_members(members: DataFrame, percent: int) -> DataFrame:
     """(key, id) of members with a partner of another component. ``members``: key, count, id, comp, n, signature, bands."""
     rows = _met(members, F.ceil(F.col("count") / BLOCK), ["id", "comp", "n", "signature", "bands"])
-    return rows.mapInArrow(_by_block(percent, "marked", ["key", "id"]), "key long, id long").distinct()
+    return at.mapped(rows, _by_block(percent, "marked", ["key", "id"]), "key long, id long").distinct()
 
 
 def joining_links(members: DataFrame, percent: int) -> DataFrame:
     """(ca, cb): links between components, confirmed on full sets. ``members``: key, bytes, id, comp, n, signature, bands, grams."""
     rows = _met(members, F.ceil(F.col("bytes") / BLOCK_BYTES), ["id", "comp", "n", "signature", "bands", "grams"])
-    return rows.mapInArrow(_by_block(percent, "links", ["ca", "cb"]), "ca long, cb long").distinct()
+    return at.mapped(rows, _by_block(percent, "links", ["ca", "cb"]), "ca long, cb long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketches = scratch.write(texts.mapInArrow(_sketcher(words), "id long, n long, d1 long, d2 long, signature binary, bands array<long>"), "sketches")
+    sketches = scratch.write(at.mapped(texts, _sketcher(words), "id long, n long, d1 long, d2 long, signature binary, bands array<long>"), "sketches")
     rows = salted(sketches.select("id", "n", "d1", "d2"), "id")
     groups = scratch.write(rows.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), salt_set()), "groups")
 
@@ -292,7 +292,7 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     bucket = scratch.write(keyed.join(shared, "key"), "bucket")
     busy = scratch.write(bucket.select("id").distinct(), "busy")
     sketch = scratch.write(sketches.join(busy, "id", "left_semi").select("id", "n", "signature", "bands").dropDuplicates(["id"]), "sketch")
-    sets = scratch.write(texts.join(busy, "id", "left_semi").mapInArrow(_set_maker(words), "id long, grams array<long>").dropDuplicates(["id"]), "sets")
+    sets = scratch.write(at.mapped(texts.join(busy, "id", "left_semi"), _set_maker(words), "id long, grams array<long>").dropDuplicates(["id"]), "sets")
 
     members = bucket.join(sketch.drop("bands"), "id").withColumn("comp", F.col("id"))
     pairs = scratch.write(hub_pairs(members, percent), "pairs")

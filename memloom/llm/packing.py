@@ -42,7 +42,7 @@ from .pretokens import spaced_pieces
 from .transducer import byte_letters
 
 CAPACITY = 1024
-MEMO = 400_000
+MEMO = 200_000
 SHARE_ROWS = 20_000
 Pattern = tuple[int, ...]
 
@@ -52,14 +52,13 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         back = {c: b for b, c in byte_letters().items()}
         ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if all(c in back for c in token)}
         self.specials = [t["content"].encode() for t in spec["added_tokens"]]
-        self.whole = Tokenizer.from_file(path)
+        self.path, self.library = path, None
         pieces = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         self.merge = tiktoken.Encoding("pieces", pat_str=pieces, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.memo: dict[int, bytes] = {}
@@ -92,11 +91,15 @@ class Encoder:
 
     def _with_specials(self, raw: bytes, offsets: np.ndarray, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Texts that hold a special token's string are encoded by the library as a whole."""
+        if self.library is None:  # loaded where it is needed: it is large
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
         out = []
         for k, (a, b) in enumerate(zip(offsets, offsets[1:])):
             text = raw[a:b]
             if any(s in text for s in self.specials):
-                out.append(np.array(self.whole.encode(text.decode("utf-8"), add_special_tokens=False).ids, np.uint32))
+                out.append(np.array(self.library.encode(text.decode("utf-8"), add_special_tokens=False).ids, np.uint32))
             else:
                 out.append(ids[first[k] : first[k + 1]])
         return np.concatenate(out), np.concatenate([[0], np.cumsum([len(x) for x in out])])
@@ -135,7 +138,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, e
                 )
 
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return found.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids binary").withColumnRenamed("id", id_col)
+    return at.mapped(found, run, f"id {kind}, piece int, start long, length long, ids binary").withColumnRenamed("id", id_col)
 
 
 class Bins:

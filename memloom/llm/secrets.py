@@ -153,7 +153,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sa
     ids = docs.select(F.col(id_col).alias("__id")).where("__id is not null").orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text"))
     sample = texts.join(F.broadcast(ids.distinct()), F.col("__doc") == F.col("__id")).select("text")
-    rows = sample.mapInArrow(run, "random boolean, a int, b int, n long").groupBy("random", "a", "b").agg(F.sum("n").alias("n")).collect()
+    rows = at.mapped(sample, run, "random boolean, a int, b int, n long").groupBy("random", "a", "b").agg(F.sum("n").alias("n")).collect()
     tables = []
     for label, made in ((True, random_strings()), (False, compounds())):
         counts = np.zeros((256, 256))
@@ -203,4 +203,4 @@ def scan(docs: DataFrame, models: MarkovModels | None, *, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(spans, pa.list_(span))], ["id", "spans"])
 
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return found.mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:long,end:long>>").withColumnRenamed("id", id_col)
+    return at.mapped(found, run, f"id {kind}, spans array<struct<kind:string,start:long,end:long>>").withColumnRenamed("id", id_col)

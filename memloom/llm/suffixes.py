@@ -127,7 +127,7 @@ def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, gram: int = G
     """One row per maximal repeated span: id, start_word, n_words, char_start, char_end, first_doc_id (the smallest that shares a part). Ids are integers."""
     scratch = Scratch(docs.sparkSession, "suffix")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    suffixes = texts.mapInArrow(_stretcher(min_words, gram), "id long, first int, last int, begin int, end int, gram long, stretch long")
+    suffixes = at.mapped(texts, _stretcher(min_words, gram), "id long, first int, last int, begin int, end int, gram long, stretch long")
     suffixes = scratch.write(suffixes, "suffixes")
     # Written, so that the join below reads two plain shuffles and a gram that many rows have can be split.
     shared = scratch.write(suffixes.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("gram"), "shared")
@@ -142,7 +142,7 @@ def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, gram: int = G
     look = look.unionByName(kept.join(single, ["stretch", "__salt"]).select("id", "first", "last", "stretch", "owner", "many"))
     todo = look.groupBy("id").agg(F.collect_list(F.struct("first", "last", "stretch", "owner", "many")).alias("todo"))
     windows = texts.dropDuplicates(["id"]).join(todo, "id") if _repeats(texts) else texts.join(todo, "id")
-    windows = windows.select("id", "text", "todo").mapInArrow(_extender(min_words), "content long, id long, word int, begin int, end int, stretch long, owner long, many boolean")
+    windows = at.mapped(windows.select("id", "text", "todo"), _extender(min_words), "content long, id long, word int, begin int, end int, stretch long, owner long, many boolean")
     windows = scratch.write(windows, "windows")
     found = windows.groupBy("content").agg(F.min("owner").alias("low"), F.max("owner").alias("high"), F.max("many").alias("any_many"), F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64) as int))")).alias("__salts"))
     found = by_salt(found.where("low <> high or any_many").select("content", "low", "__salts"))

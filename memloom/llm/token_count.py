@@ -130,5 +130,5 @@ def token_counts(docs: DataFrame, tokenizer: str, *, limit: int = 2048, id_col:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(offsets), pa.int64()), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    counted = found.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
+    counted = at.mapped(found, run, f"id {kind}, n_bytes long, n_tokens long")
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

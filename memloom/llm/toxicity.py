@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 words = np.concatenate([found[new].view(np.int64), np.zeros(high - low, np.int64)])
                 yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.concatenate([y[row[new]], y]), pa.int32()), pa.array(np.concatenate([np.zeros(new.sum(), bool), np.ones(high - low, bool)]))], ["word", "y", "whole"])
 
-    counts = sample.mapInArrow(words_of, "word long, y int, whole boolean").groupBy("whole", "word").agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("n"))
+    counts = at.mapped(sample, words_of, "word long, y int, whole boolean").groupBy("whole", "word").agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("n"))
     totals = counts.where("whole").first()
     if totals is None or totals.toxic in (0, totals.n):
         toxic, n = (totals.toxic, totals.n) if totals else (0, 0)
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(word, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("y").slice(low, high - low), lists], ["y", "words"])
 
-    rows = sample.mapInArrow(known, "y int, words array<int>").groupBy("y", "words").agg(F.count(F.lit(1)).alias("n")).orderBy("y", "words").collect()
+    rows = at.mapped(sample, known, "y int, words array<int>").groupBy("y", "words").agg(F.count(F.lit(1)).alias("n")).orderBy("y", "words").collect()
     x = np.zeros((len(rows), len(words)))
     for i, r in enumerate(rows):
         x[i, r.words] = 1
@@ -212,7 +212,7 @@ def scored(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD, id_co
             if score:
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate(score))], ["id", "score"])
 
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double")
+    found = at.mapped(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), run, f"id {kind}, score double")
     return found.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -226,4 +226,4 @@ def remove_toxic(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD,
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return at.mapped(docs, run, docs.schema)
