@@ -391,6 +391,80 @@ def test_toxicity_held_out_accuracy(spark):
     assert np.mean([r.predicted == r.toxic for r in got]) > 0.93
 
 
+def stems_of(word):
+    raw = word.encode()
+    return {raw} | {(raw[:k], k) for k in toxicity.STEMS if len(raw) > k}
+
+
+def plain_features(text):
+    """Words and beginnings of a text without numpy; None stands for a whole word."""
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return set().union(*map(stems_of, words)) if words else set()
+
+
+def test_toxicity_features_loss_and_scores_against_plain_versions():
+    texts = ["The MUSLIMS are awful people", "awful awful", "", "les juifs et les Musulmans", "thé 東京", "deaf dear"]
+    data, offsets = arrowtext.utf8(pa.array(texts))
+    found, first = toxicity.features(data, offsets)
+    sets = [set(found[a:b].tolist()) for a, b in zip(first, first[1:])]
+    plain = [plain_features(t) for t in texts]
+    assert [len(x) for x in sets] == [len(x) for x in plain]
+    assert all(len(a & b) == len(x & y) for a, x in zip(sets, plain) for b, y in zip(sets, plain))
+    vocabulary = np.unique(found)
+    swaps = toxicity.Swaps((("muslims", "jews"), ("juifs", "musulmans", "deaf")), vocabulary)
+    for i, (text, term, others) in enumerate([(texts[0], "muslims", ["jews"]), (texts[5], "deaf", ["juifs", "musulmans"])]):
+        row = [0, 5][i]
+        got = swaps.copies(found[first[row] : first[row + 1]].reshape(-1, 4), vocabulary)
+        want = [set().union(*[stems_of(o if w == term else w) for w in text.lower().split()]) for o in others]
+        every = {h for t in texts for h in plain_features(t)}
+        assert [len(c) for c in got[0]] == [len(x & every) for x in want]
+    rows, y, n, copies = [[0, 1], [1, 2], [], [2]], [1, 0, 0, 1], [2, 1, 3, 1], [[[[1], [1, 3]]], [], [], [[[0]], [[3], [1, 2]]]]
+    loss = toxicity.Loss(rows, y, n, copies, 4, 7.0, ridge=0.01)
+    rng, sigma = np.random.default_rng(1), lambda z: 1 / (1 + math.exp(-z))
+    for w in rng.normal(size=(5, 5)):
+        score = lambda f: sigma(sum(w[k] for k in f) + w[4])  # noqa: E731, B023
+        plain_loss = sum(k * -math.log(score(f) if t else 1 - score(f)) for f, t, k in zip(rows, y, n)) / 7 + 0.005 * sum(w[:4] ** 2)
+        plain_loss += 7 / 7 * sum(k * np.mean([(score(f) - score(c)) ** 2 for c in term]) for f, k, terms in zip(rows, n, copies) for term in terms)
+        value, slope = loss(w)
+        assert value == pytest.approx(plain_loss)
+        for k in range(5):
+            step = np.eye(5)[k] * 1e-6
+            assert slope[k] == pytest.approx((loss(w + step)[0] - loss(w - step)[0]) / 2e-6, abs=1e-5)
+    best = toxicity.descend(loss)
+    assert np.abs(loss(best)[1]).max() < 1e-3 and loss(best)[0] < min(loss(x)[0] for x in rng.normal(size=(200, 5)))
+    model = toxicity.Model(vocabulary, rng.normal(size=len(vocabulary)), 0.3)
+    weight = dict(zip(vocabulary.tolist(), model.weights))
+    assert model.scores(data, offsets) == pytest.approx([sigma(0.3 + sum(weight[h] for h in x)) for x in sets])
+
+
+@pytest.mark.parametrize("rate", [0.08, 0.5])
+def test_neutral_mentions_score_alike(spark, rate):
+    """A term in almost all toxic texts and few others: with the penalty a neutral mention scores as any other group's."""
+    rng, rows = np.random.default_rng(4), []
+    for i in range(1500):
+        toxic = rng.random() < rate
+        who = "immigrants" if rng.random() < (0.9 if toxic else 0.03) else rng.choice(["refugees", "locals", "natives", "people"])
+        rows.append((i, f"the {who} {'vile scum' if toxic and rng.random() < 0.6 else 'came'} by road{rng.integers(0, 60)} at noon", int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, toxic int").drop("toxic"), spark.createDataFrame(rows, "doc_id long, text string, toxic int").drop("text")
+    probe = spark.createDataFrame([(k, f"the {w} came by bus at noon") for k, w in enumerate(("immigrants", "refugees", "locals", "natives"))] + [(9, "the refugees vile scum came")], "doc_id long, text string")
+    gaps = {}
+    for penalty in (0.0, toxicity.PENALTY):
+        got = rows_of = rows_by(toxicity.scored(probe, toxicity.fit(docs, labels, penalty=penalty)))
+        gaps[penalty] = max(got[k].score for k in range(4)) - min(got[k].score for k in range(4))
+    assert gaps[toxicity.PENALTY] < 0.05 < gaps[0.0] and rows_of[9].score > 0.5
+
+
+def test_words_that_only_toxic_texts_have_count_at_any_rate(spark):
+    rows = [(i, f"{'vermin' if i % 5 < 3 else 'flowers'} in the {i % 7} garden", int(i % 5 < 3)) for i in range(400)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    got = rows_by(toxicity.scored(docs, toxicity.fit(docs, labels)))
+    assert all(got[i].predicted == t for i, _, t in rows)
+
+
+def rows_by(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
 def test_counterfactual_penalty_protects_mentions(spark, odd_docs, no_docs):
     rng = np.random.default_rng(0)
     texts, labels = [], []
