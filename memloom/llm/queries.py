@@ -136,4 +136,4 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_lm_score")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lm_score.scored(docs, lm_score.train(docs, table(spark, sf_dir, "labels"), label_col="quality", wanted=1))
+    return lm_score.scored(docs, table(spark, sf_dir, "labels"), label_col="quality", wanted=1, order=2, unit="word")

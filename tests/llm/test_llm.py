@@ -40,52 +40,71 @@ def test_query_equals_sql(spark, name):
 
 
 # ── 1 ────────────────────────────────────────────────────────────────────────────────────────────────────────────
-def brute_losses(texts, counted):
-    symbol, size = lm_score.SYMBOL, lm_score.SIZE
-    code = lambda t: [0, 0, *[int(symbol[b]) for b in (t or "").encode()]]
-    three = Counter(g for t in counted for c in [code(t)] for g in zip(c, c[1:], c[2:]))
-    two, one = Counter(), Counter()
-    for (a, b, c), n in three.items():
-        two[b, c] += n
-        one[c] += n
-    total = sum(one.values())
-    follow = lambda table, key: [n for k, n in table.items() if k[:-1] == key]
-    p1 = lambda c: (one[c] + 1) / (total + size)
-
-    def p2(b, c):
-        f = follow(two, (b,))
-        return (two[b, c] + len(f) * p1(c)) / (sum(f) + len(f)) if f else p1(c)
-
-    def p3(a, b, c):
-        f = follow(three, (a, b))
-        return (three[a, b, c] + len(f) * p2(b, c)) / (sum(f) + len(f)) if f else p2(b, c)
-
-    return [sum(-math.log2(p3(*g)) for g in zip(code(t), code(t)[1:], code(t)[2:])) for t in texts]
-
-
-def test_lm_score_against_brute_force(spark):
-    texts = ["Abc abd", "xyz\x01 xya", None, "", "ábc", "abc abc abc"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    labels = spark.createDataFrame([(0, 1), (5, 1), (5, 0), (1, 0), (1, None)], "doc_id long, quality int")
-    got = rows(lm_score.scored(docs, lm_score.train(docs, labels)))
-    target, background = brute_losses(texts, [texts[0], texts[5]]), brute_losses(texts, texts)
-    for i, t in enumerate(texts):
-        n = len((t or "").encode())
+def brute_losses(texts, target, order, unit, strength):
+    """(target, background, corpus) loss of each text in bits, by the definition: counts of the other texts, the larger side scaled down."""
+    low = [re.sub("[A-Z]", lambda m: m[0].lower(), t or "") for t in texts]
+    split = [t.split() if unit == "word" else list(t.encode()) for t in low]
+    seqs = [[*w, "</>"] if w else [] for w in split]
+    grams = lambda seq, k: [tuple((["</>"] * order + seq)[order + i - k + 1 : order + i + 1]) for i in range(len(seq))]
+    sides = [[i for i in range(len(seqs)) if i in target], [i for i in range(len(seqs)) if i not in target], list(range(len(seqs)))]
+    sizes = [sum(len(seqs[i]) for i in side) for side in sides]
+    matched, v = min(sizes[:2]), len({w for s in seqs for w in s})
+    out = []
+    for d, seq in enumerate(seqs):
+        row = []
+        for m, side in enumerate(sides):
+            scale = 1 if m == 2 else matched / sizes[m] if sizes[m] else 0
+            others = [i for i in side if i != d]
+            counts = Counter(g for i in others for k in range(1, order + 1) for g in grams(seqs[i], k))
+            texts_ = sum(bool(seqs[i]) for i in others)
+            loss = 0
+            for i in range(len(seq)):
+                p = 1 / (v + 1)
+                for k in range(1, order + 1):
+                    g = grams(seq, k)[i]
+                    context = sum(len(seqs[j]) for j in others) if k == 1 else texts_ if i == 0 else counts[g[:-1]]
+                    p = (counts[g] * scale + strength * p) / (context * scale + strength)
+                loss -= math.log2(p)
+            row.append(loss)
+        out.append((len(split[d]), row))
+    return out
+
+
+@pytest.mark.parametrize(("order", "unit", "join"), [(2, "word", 1 << 20), (3, "word", 0), (2, "byte", 1 << 20)])
+def test_lm_score_against_brute_force(spark, monkeypatch, order, unit, join):
+    monkeypatch.setattr(lm_score, "BROADCAST_IDS", join)
+    texts = ["Abc abd the cat", "xyz xya the dog sat", None, "", "ábc  the cat", "abc abd the cat abd the cat", " \n ", "the the the", "Abc abd the cat"]
+    docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, target int").repartition(3)
+    labels = spark.createDataFrame([(0, 1), (5, 1), (5, 0), (1, 0), (1, None), (None, 1)], "doc_id long, quality int")
+    got = rows(lm_score.scored(docs, labels, order=order, unit=unit, strength=0.7))
+    for i, (n, (target, background, corpus)) in enumerate(brute_losses(texts, {0, 5}, order, unit, 0.7)):
         assert got[i].n_tokens == n
         if n:
-            assert got[i].target_loss == pytest.approx(target[i] / n, rel=1e-5)
-            assert got[i].score == pytest.approx((target[i] - background[i]) / n, abs=1e-4)
+            assert got[i].target_loss == pytest.approx(target / (n + 1)) and got[i].background_loss == pytest.approx(background / (n + 1))
+            assert got[i].corpus_loss == pytest.approx(corpus / (n + 1)) and got[i].score == pytest.approx((target - background) / (n + 1))
         else:
             assert got[i].score is None
-    assert got[0].score < got[1].score
+    assert got[8].corpus_loss < got[1].corpus_loss
+
+
+def test_lm_score_in_many_blocks_and_buckets(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    one = rows(lm_score.scored(docs, labels))
+    blocks = lm_score.scored(docs.repartition(5), labels)
+    monkeypatch.setattr(lm_score, "BUCKET_BYTES", 1 << 14)
+    many = rows(lm_score.scored(docs.repartition(5), labels))
+    assert {k: (r.n_tokens, pytest.approx(r.score), pytest.approx(r.corpus_loss)) for k, r in one.items()} == {k: (r.n_tokens, r.score, r.corpus_loss) for k, r in many.items()}
+    assert blocks.columns == ["doc_id", "n_tokens", "target_loss", "background_loss", "corpus_loss", "score"]
 
 
 def test_lm_odd_input(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([], "doc_id long, quality int")
-    models = lm_score.train(odd_docs, labels)
-    assert lm_score.scored(odd_docs, models).count() == 10
-    assert lm_score.scored(no_docs, lm_score.train(no_docs, labels)).count() == 0
-    assert lm_score.select_like_target(odd_docs, models, most=100).columns == odd_docs.columns
+    got = lm_score.scored(odd_docs, labels).collect()
+    assert len(got) == 10 and {r.score for r in got} == {None, 0.0}
+    assert lm_score.scored(no_docs, labels).count() == 0
+    like = lm_score.select_like_target(odd_docs, labels, most=100)
+    assert like.columns == odd_docs.columns and sorted(r.doc_id for r in like.collect()) == [4, 4, 5, 6, 7, 8, 9]
 
 
 # ── 2 ────────────────────────────────────────────────────────────────────────────────────────────────────────────
