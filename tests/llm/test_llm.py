@@ -387,6 +387,34 @@ def test_exact_dedup_odd_input(odd_docs, no_docs):
     assert exact_dedup.duplicate_groups(no_docs).count() == 0
 
 
+def test_exact_dedup_of_rows_without_an_id(spark, monkeypatch):
+    rows_ = [(None, "a  b"), (1, "ab"), (None, "x"), (None, "x "), (2, "y"), (None, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows_)], "doc_id long, text string, n int").repartition(3)
+    for few in (1 << 18, 0):
+        monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", few)
+        got = sorted((r.keep_id is None, r.keep_id or 0, r.group_size, r.kept) for r in exact_dedup.duplicate_groups(docs).collect())
+        assert got == [(False, 1, 2, False), (False, 1, 2, True), (False, 2, 1, True), (True, 0, 1, True), (True, 0, 2, False), (True, 0, 2, True)]
+    assert sorted(r.n for r in exact_dedup.deduplicate(docs).collect()) == [1, 3, 4, 5]
+
+
+def test_exact_dedup_of_text_ids(spark):
+    docs = spark.createDataFrame([("b", "x"), ("a", "x"), ("c", "y")], "doc_id string, text string")
+    assert {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup.duplicate_groups(docs).collect()} == {("b", "a", False), ("a", "a", True), ("c", "c", True)}
+
+
+def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
+    state, made = str(tmp_path / "state"), []
+    for k, rows_ in enumerate(([(1, "a b"), (2, "cd")], [(3, "ab"), (4, "c d e"), (5, "cd")])):
+        spark.createDataFrame(rows_, "doc_id long, text string").write.parquet(str(tmp_path / f"in{k}"))
+        made.append(spark.read.parquet(str(tmp_path / f"in{k}")))
+    first = rows(exact_dedup.duplicate_groups(made[0], state_dir=state))
+    second = rows(exact_dedup.duplicate_groups(made[1], state_dir=state))
+    assert [(first[i].keep_id, first[i].kept) for i in (1, 2)] == [(1, True), (2, True)]
+    assert [(second[i].keep_id, second[i].group_size, second[i].kept) for i in (3, 4, 5)] == [(1, 2, False), (4, 1, True), (2, 2, False)]
+    short = lambda c: F.substring(F.sha2(c, 256), 1, 0)
+    assert {r.doc_id for r in exact_dedup.duplicate_groups(made[1], digest=short, state_dir=str(tmp_path / "other")).where("kept").collect()} == {3, 4, 5}
+
+
 # ── 9 ────────────────────────────────────────────────────────────────────────────────────────────────────────────
 def test_decontamination_longest_match_and_parts(spark, odd_docs, no_docs):
     item = " ".join(f"q{i}" for i in range(30))
