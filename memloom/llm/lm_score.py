@@ -16,7 +16,7 @@ How it is done: every n-gram of every document is counted, nothing is cut or sam
 2. A block's n-grams are sorted and counted, and go, in runs that share the top bits of their hash, to that run's bucket. There
    is a row for each block and bucket, so a word pair that every text has arrives once from each block, and a bucket holds about
    ``BUCKET_BYTES`` of text's n-grams at every size of the corpus, because there are more buckets then.
-3. A bucket adds up its runs and answers each with the totals in the run's own order; n-grams themselves do not travel back.
+3. A bucket adds up its runs and answers each with what the other blocks have of its n-grams, in the run's own order; n-grams themselves do not travel back.
 4. Blocks meet their answers and are scored, one block at a time.
 
 Defined results: a null or empty text has no tokens and null losses and score; an id that is labelled several times counts as target
@@ -40,7 +40,8 @@ from memloom.operators.scratch import Scratch
 from . import arrowtext as at
 
 ORDER, STRENGTH = 2, 1.0
-BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 16 << 20
+#: Text of a block and of a bucket. Larger ones mean fewer and longer runs (a corpus has blocks x buckets of them at most) and more memory of a task.
+BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 4 << 20
 #: Target ids that are broadcast at most; more are joined by merge.
 BROADCAST_IDS = 1 << 20
 MARK = np.uint64(0x2545F4914F6CDD1D)
@@ -123,6 +124,22 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def wanted_bytes(n: np.ndarray, wanted: np.ndarray) -> bytes:
+    """Target counts beside counts: a bit where an n-gram occurs once, a number elsewhere."""
+    one = n == 1
+    return np.packbits(wanted[one].astype(np.uint8)).tobytes() + planes(wanted[~one].astype(np.uint32))
+
+
+def from_wanted_bytes(raw: bytes, n: np.ndarray) -> np.ndarray:
+    one = n == 1
+    ones = int(one.sum())
+    cut = -(-ones // 8)
+    out = np.empty(len(n), np.uint32)
+    out[one] = np.unpackbits(np.frombuffer(raw[:cut], np.uint8), count=ones)
+    out[~one] = from_planes(raw[cut:], np.uint32)
+    return out
+
+
 class Block:
     """The rows of a block, their tokens and n-grams."""
 
@@ -152,7 +169,7 @@ def _counter(order: int, unit: str, bits: int):
                     grams = block.grams[part]
                     steps = np.concatenate([grams[:1], np.diff(grams)])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([bucket], pa.int64()), pa.array([number]), pa.array([planes(steps)], pa.binary()), pa.array([planes(block.n[part].astype(np.uint32))], pa.binary()), pa.array([planes(block.wanted[part].astype(np.uint32))], pa.binary())],
+                        [pa.array([bucket], pa.int64()), pa.array([number]), pa.array([planes(steps)], pa.binary()), pa.array([planes(block.n[part].astype(np.uint32))], pa.binary()), pa.array([wanted_bytes(block.n[part], block.wanted[part])], pa.binary())],
                         ["bucket", "block", "grams", "n", "wanted"],
                     )
 
@@ -173,17 +190,20 @@ def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict[s
 
 
 def _adder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each run its n-grams' totals, in the run's order; and a row for each bucket (block -1) with its single tokens: kinds, occurrences, those in the target."""
+    """For each run how often its n-grams occur in other blocks, in the run's order; and a row for each bucket (block -1) with its single tokens: kinds, occurrences, those in the target."""
     names = ["block", "bucket", "a", "b"]
     for runs in _by_key(batches, "bucket"):
         bucket = runs[0]["bucket"]
         parts = [np.cumsum(from_planes(r.pop("grams"))) for r in runs]
         edges = np.cumsum([0, *map(len, parts)])
         grams, back = np.unique(np.concatenate(parts), return_inverse=True)
-        n = np.bincount(back, np.concatenate([from_planes(r.pop("n"), np.uint32) for r in runs]), len(grams)).astype(np.uint64)
-        wanted = np.bincount(back, np.concatenate([from_planes(r.pop("wanted"), np.uint32) for r in runs]), len(grams)).astype(np.uint64)
-        for r, a, b in zip(runs, edges, edges[1:]):
-            yield pa.RecordBatch.from_arrays([pa.array([r["block"]]), pa.array([bucket]), pa.array([planes(n[back[a:b]])], pa.binary()), pa.array([planes(wanted[back[a:b]])], pa.binary())], names)
+        own = [from_planes(r.pop("n"), np.uint32) for r in runs]
+        own_wanted = [from_wanted_bytes(r.pop("wanted"), m) for r, m in zip(runs, own)]
+        n = np.bincount(back, np.concatenate(own), len(grams)).astype(np.uint64)
+        wanted = np.bincount(back, np.concatenate(own_wanted), len(grams)).astype(np.uint64)
+        for r, a, b, m, t in zip(runs, edges, edges[1:], own, own_wanted):
+            others, others_wanted = n[back[a:b]] - m, wanted[back[a:b]] - t
+            yield pa.RecordBatch.from_arrays([pa.array([r["block"]]), pa.array([bucket]), pa.array([planes(others)], pa.binary()), pa.array([planes(others_wanted)], pa.binary())], names)
         single = (grams & np.uint64(1)).astype(bool)
         sums = np.array([single.sum(), n[single].sum(), wanted[single].sum()], np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([bucket]), pa.array([sums.tobytes()], pa.binary()), pa.array([b""], pa.binary())], names)
@@ -231,8 +251,8 @@ def _scorer(order: int, unit: str, all_: Totals, strength: float):
         """Rows come sorted by (block, bucket): a block's rows (bucket -1), then the answers of its buckets in order."""
         for rows in _by_key(batches, "block"):
             block = Block(rows[0]["a"], order, unit)
-            n = np.concatenate([np.zeros(0, np.uint64), *[from_planes(r["a"]) for r in rows[1:]]])
-            wanted = np.concatenate([np.zeros(0, np.uint64), *[from_planes(r["b"]) for r in rows[1:]]])
+            n = block.n + np.concatenate([np.zeros(0, np.uint64), *[from_planes(r["a"]) for r in rows[1:]]]).astype(np.int64)
+            wanted = block.wanted + np.concatenate([np.zeros(0, np.uint64), *[from_planes(r["b"]) for r in rows[1:]]]).astype(np.int64)
             losses = block_losses(block, n, wanted, all_, strength)
             yield pa.RecordBatch.from_arrays([block.ids, pa.array(block.sizes, pa.int64()), *map(pa.array, losses)], ["id", "n", "target", "background", "corpus"])
 
