@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import Column
@@ -27,6 +28,11 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
     return dot(a, b) / ((norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b) + F.lit(EPSILON))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 class Embedder(Protocol):
     """Text column to array<double> column."""
 
@@ -41,10 +47,11 @@ class HashedTrigrams:
 
     def __call__(self, text: Column) -> Column:
         padded = F.concat(F.lit("  "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
-        at = F.sequence(F.lit(1), F.length(padded) - 2)
-        buckets = F.transform(at, lambda i: F.conv(F.substring(F.md5(F.substring(padded, i, F.lit(3))), 1, 4), 16, 10).cast("int") % self.dim)
-        counts = F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda k: F.size(F.filter(buckets, lambda b: b == k)).cast("double"))
-        return F.transform(counts, lambda c: c / F.greatest(norm(counts), F.lit(EPSILON)))
+        bucket = lambda p, i: F.conv(F.substring(F.md5(F.substring(p, i, F.lit(3))), 1, 4), 16, 10).cast("int") % self.dim
+        buckets = let(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: bucket(p, i)))
+        every = F.sequence(F.lit(0), F.lit(self.dim - 1))
+        counts = let(buckets, lambda found: F.transform(every, lambda k: F.size(F.filter(found, lambda b: b == k)).cast("double")))
+        return let(counts, lambda c: let(F.greatest(norm(c), F.lit(EPSILON)), lambda n: F.transform(c, lambda x: x / n)))
 
 
 def entity_text(name: Column, aliases: Column) -> Column:

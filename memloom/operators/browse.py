@@ -72,3 +72,8 @@ def claims_between(df: DataFrame, a: str, b: str) -> DataFrame:
 def highlight(nodes: DataFrame, column: str, values: list[str]) -> DataFrame:
     """Nodes with a flag for those whose property is one of the values."""
     return nodes.withColumn("highlighted", F.coalesce(F.col(column).isin(values), F.lit(False)))
+
+
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    """The values of a filter list in order; a null counts as an empty text."""
+    return df.select(F.coalesce(F.col(column), F.lit("")).alias("value")).distinct().orderBy("value")

@@ -18,6 +18,7 @@ from memloom import schemas
 from memloom.functions.text import artifact_key, claim_key, entity_key, fingerprint
 
 from .components import connected_components
+from .scratch import Scratch
 
 PAIR_BLOCK = 2048
 
@@ -34,10 +35,10 @@ def artifact_groups(artifacts: DataFrame, *, id_col: str = "source_id", order_co
 
 
 def resequenced(rows: DataFrame, groups: DataFrame, *, source_col: str = "source_id", order_col: str = "seq") -> DataFrame:
-    """Rows moved behind their group's first artifact: ``seq`` becomes (group's first, own) and the source the canonical one."""
-    names = groups.select(F.col(source_col).alias("__s"), "canonical_id", "canonical_order")
+    """Rows with ``artifact_place`` (group's first artifact, own artifact): sorted by it, the rows of an artifact follow those of the first that opens alike."""
+    names = groups.select(F.col("source_id").alias("__s"), "canonical_id", "canonical_order", F.col(order_col).alias("__own"))
     out = rows.join(names, rows[source_col] == F.col("__s"), "left")
-    return out.withColumn("place", F.struct(F.coalesce("canonical_order", order_col).alias("group"), F.col(order_col).alias("own"))).drop("__s")
+    return out.withColumn("artifact_place", F.struct(F.col("canonical_order").alias("group"), F.col("__own").alias("own"))).drop("__s", "__own", "canonical_order")
 
 
 # ── entities ─────────────────────────────────────────────────────────────────────────────────────────────────────
@@ -66,20 +67,27 @@ def exact_entities(entities: DataFrame) -> DataFrame:
 
 
 def exact_merges(entities: DataFrame) -> DataFrame:
-    """Merge records of the exact pass; the winner's snapshot is its state before that very merge."""
+    """Merge records of the exact pass; the winner's snapshot is its state before that very merge.
+
+    An alias enters a snapshot where its key has it first, so a row carries only the aliases that it adds itself; the snapshot's list
+    is a running concatenation of those, as long as the key has distinct names.
+    """
     keyed = entities.withColumn("key", entity_key(F.col("type"), F.col("name")))
+    none = F.array().cast("array<string>")
+    given = keyed.select("key", "seq", F.posexplode(F.concat(F.coalesce("aliases", none), F.array("name"))).alias("pos", "alias"))
+    first = given.groupBy("key", "alias").agg(F.min(F.struct("seq", "pos")).alias("at"))
+    adds = first.groupBy("key", F.col("at.seq").alias("seq")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at.pos", "alias"))), lambda x: x["alias"]).alias("adds"))
     w = Window.partitionBy("key").orderBy("seq")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     seen = lambda c: F.nullif(F.col(c), F.lit(""))
-    none = F.array().cast("array<string>")
     state = F.struct("id", "name", "type", "aliases", "first_seen", "last_seen")
-    rows = keyed.withColumns({
+    rows = keyed.join(adds, ["key", "seq"], "left").withColumns({
         "rn": F.row_number().over(w), "first": F.first(F.struct("id", "name", "type", "aliases", "first_seen", "last_seen")).over(w),
         "low": F.coalesce(F.min(seen("first_seen")).over(before), F.first("first_seen").over(w)), "high": F.coalesce(F.max(seen("last_seen")).over(before), F.first("last_seen").over(w)),
-        "others": F.flatten(F.collect_list(F.concat(F.coalesce("aliases", none), F.array("name"))).over(before)),
+        "others": F.flatten(F.collect_list("adds").over(before)),  # collect_list leaves rows out that add nothing
     }).where("rn > 1")
     mine = F.coalesce("first.aliases", none)
-    held = F.concat(mine, F.filter(F.array_distinct("others"), lambda a: ~F.array_contains(mine, a) & (a != F.col("first.name"))))
+    held = F.concat(mine, F.filter(F.coalesce("others", none), lambda a: ~F.array_contains(mine, a) & (a != F.col("first.name"))))
     winner = F.struct(F.col("first.id").alias("id"), F.col("first.name").alias("name"), F.col("first.type").alias("type"), held.alias("aliases"), F.col("low").alias("first_seen"), F.col("high").alias("last_seen"))
     return _record(rows, "entity", F.col("first.id"), F.col("id"), F.lit("exact_match"), winner, state, F.col("last_seen"))
 
@@ -183,9 +191,11 @@ def canonical_entities(entities: DataFrame, vec: Column, threshold: float = sche
     ``vec`` is an expression on name. As in the ordered procedure, a loser's name becomes an alias of the pair's left entity
     (which may not be the final root), and windows are not merged in the vector pass.
     """
-    exact = exact_entities(entities)
-    pairs = cosine_pairs(exact.select("seq", "type", vec.alias("vec")), threshold)
+    scratch = Scratch(entities.sparkSession, "entities")
+    exact = scratch.write(exact_entities(entities), "exact")
+    pairs = scratch.write(cosine_pairs(scratch.write(exact.select("seq", "type", vec.alias("vec")), "vectors"), threshold), "pairs")
     roots, united = union_order(pairs)
+    roots, united = scratch.write(roots, "roots"), scratch.write(united, "united")
     name = exact.select("seq", "id", "name", "type", "aliases", "first_seen", "last_seen")
     l, r = name.select([F.col(c).alias(f"l_{c}") for c in name.columns]), name.select([F.col(c).alias(f"r_{c}") for c in name.columns])  # noqa: E741
     both = united.join(l, F.col("i") == F.col("l_seq")).join(r, F.col("j") == F.col("r_seq"))
@@ -287,20 +297,35 @@ def orphans(entities: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 class Deduplicator:
-    """All layers in order, chained: ``Deduplicator(entities, claims, embed).run_full_pipeline().to_memory_store()``."""
+    """All layers in order, chained: ``Deduplicator(entities, claims, embed).run_full_pipeline().to_memory_store()``.
+
+    With ``artifacts`` (source_id, seq, excerpt) the rows carry thread_id and ``place`` instead of ``seq``: rows of artifacts that open
+    alike follow the first one's, and that order decides which entity and claim wins. Nothing is dropped by it.
+    """
 
     def __init__(self, entities: DataFrame, claims: DataFrame, embed, *, artifacts: DataFrame | None = None, similarity: float = schemas.SIMILARITY, confidence: float = schemas.CONFIDENCE) -> None:
         self.entities, self.claims, self.embed, self.artifacts = entities, claims, embed, artifacts
         self.similarity, self.confidence = similarity, confidence
         self.merge_log: DataFrame | None = None
         self.id_remap: DataFrame | None = None
+        self.scratch = Scratch(entities.sparkSession, "dedup")
+
+    def _in_artifact_order(self, rows: DataFrame, groups: DataFrame, name: str) -> DataFrame:
+        placed = resequenced(rows, groups, source_col="thread_id").orderBy("artifact_place", "place", "id")
+        # Written: the numbers follow the sort and must not change between two readings.
+        return self.scratch.write(placed.withColumn("seq", F.monotonically_increasing_id()).drop("artifact_place", "canonical_id", "place", "thread_id"), name)
 
     def run_full_pipeline(self) -> Deduplicator:
         entities, claims = self.entities, self.claims
+        if self.artifacts is not None:
+            groups = self.scratch.write(artifact_groups(self.artifacts), "artifacts")
+            entities, claims = self._in_artifact_order(entities, groups, "entities"), self._in_artifact_order(claims, groups, "claims")
         self.entities, self.id_remap, log = canonical_entities(entities, self.embed(F.col("name")), self.similarity)
-        moved = remapped(claims, self.id_remap)
-        merged = merged_claims(moved).drop("occurrences", "key")
-        done = superseded(merged)
+        # Each layer is read several times by the next ones and by the log, so it is written.
+        self.entities, self.id_remap = self.scratch.write(self.entities, "canonical"), self.scratch.write(self.id_remap, "remap")
+        moved = self.scratch.write(remapped(claims, self.id_remap), "moved")
+        merged = self.scratch.write(merged_claims(moved).drop("occurrences", "key"), "merged")
+        done = self.scratch.write(superseded(merged), "superseded")
         self.claims = confident(done, self.confidence)
         self.merge_log = log.unionByName(claim_merges(moved)).unionByName(supersessions(merged, done))
         self.entities = referenced(self.entities.drop("members", "key"), self.claims)

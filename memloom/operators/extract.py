@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from memloom import schemas
 from memloom.functions.text import between, clamped, find_folded, person_name, spans, strip, title
 
+from .scratch import Scratch
+
 # Lexicons and patterns.
 KNOWN_NAMES = (
     ("EnronOnline", "System"), ("EOL", "System"),
@@ -125,9 +127,14 @@ def locations(messages: DataFrame, places: tuple = LOCATIONS) -> DataFrame:
 
 
 def rule_claims(messages: DataFrame, *, domain: str = ROOT_DOMAIN, organisation: str = ROOT_ORGANISATION) -> DataFrame:
-    """All rules' claims; ``messages`` are schemas.MESSAGE with thread_id."""
-    out = sent_email(messages)
-    for part in (works_at(messages, domain, organisation), has_value(messages), has_role(messages), known_names(messages), keyword_events(messages), locations(messages)):
+    """All rules' claims; ``messages`` are schemas.MESSAGE with thread_id.
+
+    The seven rules read the messages through one written table, so the plan before them (threads, selection) runs once.
+    """
+    needed = messages.select("thread_id", "seq", "email_id", "sender", "recipients_raw", "subject", "ts_raw", "body")
+    read = Scratch(messages.sparkSession, "rules").write(needed, "messages")
+    out = sent_email(read)
+    for part in (works_at(read, domain, organisation), has_value(read), has_role(read), known_names(read), keyword_events(read), locations(read)):
         out = out.unionByName(part)
     return out.select(*CLAIM_COLUMNS)
 

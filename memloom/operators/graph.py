@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom import schemas
@@ -12,6 +14,9 @@ from .components import connected_components
 from .scratch import Scratch
 
 
+EDGE_KEY = ("subject_id", "object_id", "id")
+
+
 def ends(claims: DataFrame) -> DataFrame:
     """(id, name, seq, side) of both ends of every claim."""
     return claims.select(F.col("seq"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("subject_id").alias("id"), F.col("subject_name").alias("name")), F.struct(F.lit(1).alias("side"), F.col("object_id").alias("id"), F.col("object_name").alias("name")))).alias("e")).select("seq", "e.*")
@@ -26,9 +31,14 @@ def stub_nodes(entities: DataFrame, claims: DataFrame) -> DataFrame:
 def build_graph(entities: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): entities and stubs; one edge per (subject, object, claim id), the last row winning."""
     nodes = entities.select("id", "name", "type").unionByName(stub_nodes(entities, claims))
-    cols = [c for c in claims.columns]
-    last = claims.groupBy("subject_id", "object_id", "id").agg(F.max_by(F.struct(*cols), "seq").alias("c"))
-    return nodes, last.select("c.*")
+    return nodes, last_edges(claims)
+
+
+def last_edges(claims: DataFrame) -> DataFrame:
+    """One edge per (subject, object, claim id), the last row winning. Only ids repeat in a log of upserts, so a column that is not read is not carried."""
+    rest = [c for c in claims.columns if c not in EDGE_KEY]
+    last = claims.groupBy(*EDGE_KEY).agg(*[F.max_by(c, "seq").alias(c) for c in rest])
+    return last.select(*claims.columns)
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
@@ -53,9 +63,14 @@ def coverage(edges: DataFrame) -> DataFrame:
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """(id, component) of every node; a node without edges is a component."""
-    labels = connected_components(edges, a="subject_id", b="object_id", scratch=scratch)
-    return nodes.select("id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    """(id, component) of every node; a node without edges is a component. Rounds work on 64-bit numbers of the ids; a component is named by its smallest id."""
+    scratch = scratch or Scratch(nodes.sparkSession, "weak")
+    number = lambda c: F.xxhash64(c)
+    labels = connected_components(edges.select(number("subject_id").alias("a"), number("object_id").alias("b")), scratch=scratch)
+    own = nodes.select("id", number("id").alias("node")).join(labels, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
+    own = scratch.write(own, "components")
+    names = own.groupBy("component").agg(F.min("id").alias("name"))
+    return own.join(names, "component").select("id", F.col("name").alias("component"))
 
 
 def density(n: int, m: int) -> float:
@@ -77,6 +92,50 @@ def graph_stats(nodes: DataFrame, edges: DataFrame, k: int = 15) -> dict[str, ob
     }
 
 
+def save_stats(spark: SparkSession, stats: dict[str, object], path: str) -> None:
+    """The statistics document as one JSON row."""
+    spark.createDataFrame([(json.dumps(stats),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_stats(spark: SparkSession, path: str) -> dict[str, object]:
+    """What ``save_stats`` wrote; empty where there is nothing."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return {}
+    row = spark.read.text(path).first()
+    return json.loads(row.value) if row else {}
+
+
+def totals(entities: DataFrame, claims: DataFrame, merge_log: DataFrame) -> DataFrame:
+    """One row: entities, claims and merges."""
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return one(entities, "entities").crossJoin(F.broadcast(one(claims, "claims"))).crossJoin(F.broadcast(one(merge_log, "merges")))
+
+
+def share_percent(counts: DataFrame, total: str = "n") -> DataFrame:
+    """Counts with ``pct`` of their sum; the sum is one row."""
+    whole = counts.agg(F.sum(total).alias("__all"))
+    return counts.crossJoin(F.broadcast(whole)).withColumn("pct", F.col(total) * 100.0 / F.greatest("__all", F.lit(1))).drop("__all")
+
+
+def density_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: n nodes, m edges, m / (n (n - 1))."""
+    both = nodes.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(edges.agg(F.count(F.lit(1)).alias("m"))))
+    return both.withColumn("density", F.when(F.col("n") > 1, F.col("m") / (F.col("n") * (F.col("n") - 1.0))).otherwise(0.0))
+
+
+NODE_JSON = "id string, name string, type string"
+LINK_JSON = "source string, target string, key string, relation string, confidence double, status string, valid_from string, valid_until string, evidence_count long"
+
+
+def load_node_link(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a node-link export; edges have the columns of claims that the export keeps."""
+    rows = spark.read.schema("kind string, json string").json(path)
+    nodes = rows.where("kind = 'node'").select(F.from_json("json", NODE_JSON).alias("r")).select("r.*")
+    links = rows.where("kind = 'link'").select(F.from_json("json", LINK_JSON).alias("r")).select("r.*")
+    return nodes, links.withColumnsRenamed({"source": "subject_id", "target": "object_id", "key": "id"})
+
+
 def node_link(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Node-link export as JSON lines: one row per node and per link (a graph never has to fit into one row)."""
     n = nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct("id", "name", "type")).alias("json"))

@@ -1,8 +1,8 @@
 """Written intermediate tables: the one way this library cuts lineage.
 
 Everything goes below the shared folder named by ``spark.checkpoint.dir``. Only
-where the session has no such setting (unit tests, a laptop) a folder of our own
-is made and set.
+where a local session has no such setting (unit tests, a laptop) a folder of our
+own is made and set; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="memloom-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -39,5 +41,12 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(target)
 
     def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        self._delete(f"{self.path}/{name}")
+
+    def clear(self) -> None:
+        """Delete all tables of this run; for callers whose results are written elsewhere."""
+        self._delete(self.path)
+
+    def _delete(self, target: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(target)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

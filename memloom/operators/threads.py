@@ -10,6 +10,7 @@ from memloom import schemas
 from memloom.functions.text import normalise_subject, strip
 
 from .components import connected_components
+from .scratch import Scratch
 
 
 def body_gate(messages: DataFrame, least: int = schemas.BODY_MIN, body: str = "body") -> DataFrame:
@@ -78,14 +79,21 @@ def _replay(edges: pd.DataFrame) -> pd.DataFrame:
 def thread_keys(messages: DataFrame) -> DataFrame:
     """``messages`` with ``thread_key`` and ``insert_ord`` (the order in which a thread lists equal timestamps).
 
-    Components are found in parallel; only the label of each needs its ordered unions, which one task replays per
-    component on its link edges alone. The component's root message is not a key of the union structure, so it falls to its
+    Components are found in parallel. Where every message of a component answers one other, the root is the one that answers
+    none; only components with several links from one message need their ordered unions replayed. The component's root message is not a key of the union structure, so it falls to its
     subject; threads whose first message has the same subject are then one.
     """
     edges = link_edges(messages)
     parts = connected_components(edges, a="child", b="parent")
     tagged = edges.join(parts.select(F.col("node").alias("child"), "component"), "child")
-    roots = tagged.groupBy("component").applyInPandas(lambda pdf: _replay(pdf), "mid string, root string")
+    tagged = Scratch(messages.sparkSession, "threads").write(tagged, "links")
+    shape = tagged.groupBy("component", "child").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("children"))
+    members = tagged.select("component", F.explode(F.array(F.struct(F.col("child").alias("node"), F.lit(1).alias("answers")), F.struct(F.col("parent").alias("node"), F.lit(0).alias("answers")))).alias("m")).groupBy("component", "m.node").agg(F.max("m.answers").alias("answers"))
+    tops = members.groupBy("component").agg(F.count_if(F.col("answers") == 0).alias("tops"), F.max(F.when(F.col("answers") == 0, F.col("node"))).alias("root"))
+    plain = shape.join(tops, "component").where("most = 1 and tops = 1").select("component", "root")
+    roots = members.where("answers = 1").join(plain, "component").select(F.col("node").alias("mid"), "root")
+    mixed = tagged.join(plain, "component", "left_anti")
+    roots = roots.unionByName(mixed.groupBy("component").applyInPandas(lambda pdf: _replay(pdf), "mid string, root string"))
     keyed = messages.withColumn("__mid", strip(F.col("message_id"))).join(roots.withColumnRenamed("mid", "__mid"), "__mid", "left")
     own = F.coalesce("root", F.concat(F.lit("subj::"), normalise_subject(F.col("subject"))))
     keyed = keyed.withColumn("key", own).drop("__mid", "root")
@@ -106,5 +114,14 @@ def select_threads(messages: DataFrame, *, least: int = schemas.THREAD_MIN, most
     ranked = ranked.join(first, "thread_key").withColumn("nsubj", normalise_subject(F.col("subject")))
     best = Window.partitionBy("nsubj").orderBy(F.col("score").desc(), "first_ord")
     ranked = ranked.withColumn("rn", F.row_number().over(best)).where("rn = 1").orderBy(F.col("score").desc(), "first_ord").limit(target)
-    threads = ranked.select(F.substring(F.md5("thread_key"), 1, 10).alias("thread_id"), "thread_key", "subject", "message_count", "participants", "score")
-    return threads, kept.join(F.broadcast(threads.select("thread_id", "thread_key")), "thread_key")
+    # One sort of what the limit lets through.
+    ranked = ranked.withColumn("thread_rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "first_ord")))
+    threads = ranked.select(F.substring(F.md5("thread_key"), 1, 10).alias("thread_id"), "thread_key", "subject", "message_count", "participants", "score", "thread_rank")
+    return threads, kept.join(threads.select("thread_id", "thread_key"), "thread_key")
+
+
+def nested(messages: DataFrame, key: str = "thread_id") -> DataFrame:
+    """One row per thread of capped size: its messages as an ordered list, the first subject and the senders."""
+    mail = F.struct("email_id", "message_id", "in_reply_to", F.array_join(F.coalesce("refs", F.array().cast("array<string>")), " ").alias("references"), F.col("sender").alias("from"), F.col("recipients_raw").alias("to"), "subject", F.col("ts_raw").alias("timestamp"), "body")
+    made = messages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ts_raw", "seq", mail.alias("m")))).alias("l"), F.array_sort(F.collect_set("sender")).alias("participants"))
+    return made.select(key, F.get("l", F.lit(0))["m"]["subject"].alias("subject"), F.size("l").cast("long").alias("message_count"), "participants", F.transform("l", lambda x: x["m"]).alias("messages"))

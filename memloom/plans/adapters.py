@@ -108,8 +108,9 @@ qv as (select cast(embedding as double[]) q from embeddings where vec_id = 0),
 ev as (select e.*, cast(embedding as double[]) vec from e join embeddings on id = 's' || vec_id where type = 'Organisation'),
 es as (select ev.id, name, type, """ + SIM.format(a="vec") + """ sim from ev, qv),
 seeds as (select * from es order by sim desc, id limit 10),
-cand as (select * from k where subject_id in (select id from seeds) or object_id in (select id from seeds)
-  or subject_id in (select object_id from k where subject_id in (select id from seeds) union select subject_id from k where object_id in (select id from seeds))),
+s1 as (select k.id, object_id other from k join seeds on subject_id = seeds.id union all select k.id, subject_id from k join seeds on object_id = seeds.id),
+ids as (select id from s1 union select k.id from k join (select distinct other from s1) n on subject_id = n.other),
+cand as (select k.* from k join ids using (id)),
 cs as (select cand.*, """ + SIM.format(a="cast(embedding as double[])") + """ sim from cand join embeddings on seq % 500 = vec_id, qv),
 sc as (select *, 0.6 * sim + 0.2 * confidence + 0.2 * case when status = 'current' then 1.0 else 0.7 end score from cs),
 rk as (select *, row_number() over (order by score desc, seq) as rnk from sc qualify row_number() over (order by score desc, seq) <= 20)"""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from memloom import schemas
 from memloom.functions import text as tx
 from memloom.operators import browse, dedup, extract, graph, model_extract, retrieve, threads
 from memloom.operators.components import connected_components
@@ -122,15 +123,20 @@ def evidence_fingerprint(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.fingerprint(F.col("doc_id").cast("string"), F.col("text")).alias("fp"))
 
 
-@query("""select event_id, case event_id % 5 when 0 then 'reports_to' when 1 then 'has_status' when 2 then 'related_to' when 3 then 'invested_in' else 'related_to' end rel from events""")
+REL = ", ".join(f"'{r}'" for r in schemas.RELATIONS)
+
+
+@query(f"""with r as (select event_id, case event_id % 7 when 0 then 'Reports To' when 1 then ' has_status ' when 2 then 'likes' when 3 then 'INVESTED IN' when 4 then ' invested in' when 5 then event_type else '  ' || props || ' ' end raw from events)
+select event_id, case when lower(trim(raw)) in ({REL}) then lower(trim(raw)) when replace(lower(raw), ' ', '_') in ({REL}) then replace(lower(raw), ' ', '_') else 'related_to' end rel from r""")
 def relation_normalise(spark, sf):
-    raw = F.element_at(F.array(*map(F.lit, ["Reports To", " has_status ", "likes", "INVESTED IN", " invested in"])), (F.col("event_id") % 5 + 1).cast("int"))
+    raw = F.expr("case event_id % 7 when 0 then 'Reports To' when 1 then ' has_status ' when 2 then 'likes' when 3 then 'INVESTED IN' when 4 then ' invested in' when 5 then event_type else concat('  ', props, ' ') end")
     return table(spark, sf, "events").select("event_id", model_extract.relation(raw).alias("rel"))
 
 
-@query("""select event_id, case event_id % 5 when 0 then 'Organisation' when 1 then 'Person' when 2 then 'Project' when 3 then 'FinancialInstrument' else 'Project' end kind from events""")
+@query("""with r as (select event_id, case event_id % 7 when 0 then 'Org ' when 1 then 'PERSON' when 2 then 'gizmo' when 3 then 'financial_instrument' when 4 then null when 5 then event_type else ' ROLE' end raw from events)
+select event_id, case lower(trim(coalesce(raw, ''))) when 'org' then 'Organisation' when 'person' then 'Person' when 'financial_instrument' then 'FinancialInstrument' when 'role' then 'Role' else 'Project' end kind from r""")
 def entity_type_normalise(spark, sf):
-    raw = F.element_at(F.array(F.lit("Org "), F.lit("PERSON"), F.lit("gizmo"), F.lit("financial_instrument"), F.lit(None).cast("string")), (F.col("event_id") % 5 + 1).cast("int"))
+    raw = F.expr("case event_id % 7 when 0 then 'Org ' when 1 then 'PERSON' when 2 then 'gizmo' when 3 then 'financial_instrument' when 4 then null when 5 then event_type else ' ROLE' end")
     return table(spark, sf, "events").select("event_id", model_extract.entity_type(raw).alias("kind"))
 
 
@@ -204,10 +210,14 @@ def regex_spans_context(spark, sf):
     return hits.select("page_id", "hit", "match", "start", "end", F.md5(tx.between(F.col("html"), start, end)).alias("context_md5"))
 
 
-@query(f"""with {MSG}, w as (select seq, other, length(body) n from m)
-select seq as msg, 3 as objects from w""")
+@query(f"""with {MSG} select relation, count(*) n from (select seq, unnest(['sent_email', 'sent_email', 'sent_email']) relation from m
+  union all select seq, 'related_to' from m, (values ('london'), ('india'), ('houston'), ('portland'), ('california'), ('new york'), ('brazil'), ('argentina'), ('maharashtra'), ('mumbai'), ('enrononline'), ('eol'), ('raptor'), ('ljm'), ('ljm2'), ('chewco'), ('whitewing'), ('jedi'), ('marlin'), ('osprey'), ('azurix'), ('dabhol'), ('death star'), ('fat boy'), ('get shorty'), ('blockbuster'), ('arthur andersen'), ('andersen'), ('vinson & elkins'), ('dynegy'), ('ferc'), ('sec'), ('ubs warburg'), ('moody''s'), ('s&p'), ('chevrontexaco'), ('weil gotshal')) v(t) where contains(lower(body), t)
+  union all select seq, r from m, (values ('approved', 'approved'), ('rejected', 'rejected'), ('decided', 'decided'), ('proposed', 'proposed'), ('recommend', 'proposed'), ('warned', 'warned_about'), ('concerned', 'warned_about'), ('investigating', 'investigated'), ('resigned', 'has_status'), ('terminated', 'has_status'), ('filed', 'has_status'), ('acquired', 'acquired'), ('downgrade', 'has_status'), ('bankruptcy', 'has_status')) v(t, r) where contains(lower(body), t)
+  union all select seq, 'works_at' from m where contains(sender, 'enron.com')) group by 1""")
 def rule_claim_counts(spark, sf):
-    return extract.rule_claims(messages(spark, sf)).where("relation = 'sent_email'").groupBy("msg").agg(F.count(F.lit(1)).alias("objects"))
+    """Claims of all rules by relation, but for the two patterns that need Unicode classes."""
+    found = extract.rule_claims(messages(spark, sf)).where("relation not in ('has_value', 'has_role')")
+    return found.groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ── model extraction ─────────────────────────────────────────────────────────────────────────────────────────────
@@ -230,10 +240,12 @@ def evidence_left_join_default(spark, sf):
     return out.select((F.col("thread_id") * 10000 + F.col("pos")).alias("pos"), "source_id", "evidence_fallback")
 
 
-@query("select conv_id thread_id, substr(md5('Read'), 1, 8) h, count(*) n, sum(length(substr(text, 1, 1000))) chars from conversations group by 1")
-def prompt_bodies(spark, sf):
-    m = messages(spark, sf)
-    return m.groupBy("thread_id").agg(F.first(model_extract.prompt_hash("Read")).alias("h"), F.count(F.lit(1)).alias("n"), F.sum(F.length(F.substring("body", 1, 1000))).alias("chars"))
+@query(f"""with {MSG}, r as (select *, row_number() over (partition by conv_id order by ts_raw, seq) i from m), t as (select conv_id, arg_min(subject, i) subject, count(*) n, string_agg(distinct sender, ', ' order by sender) people,
+  string_agg('#' || i || ' id=' || email_id || ' | ' || sender || ' -> ' || other || ' , all-hands,, steam@x.org, | ' || ts_raw || ' | ' || coalesce(subject, '') || chr(10) || substr(coalesce(body, ''), 1, 1000) || chr(10), chr(10) order by i) b from r group by 1)
+select conv_id thread_id, md5('Thread ' || conv_id || ', ' || n || ' message(s), oldest first.' || chr(10) || 'About: ' || coalesce(subject, '') || chr(10) || 'Written by: ' || people || chr(10) || b || chr(10) || 'List what these messages state.') prompt_md5, substr(md5('Read'), 1, 8) h from t""")
+def thread_prompts(spark, sf):
+    """The whole prompt of every thread, in message order."""
+    return model_extract.thread_prompts(messages(spark, sf)).select("thread_id", F.md5("prompt").alias("prompt_md5"), model_extract.prompt_hash("Read").alias("h"))
 
 
 @query("""select event_id, case event_id % 4 when 0 then '{"k": 1}' when 1 then '{"k": 2}' when 2 then '{"k": 3}' end j, cast(case event_id % 4 when 3 then 0.7 else 0.25 * (event_id % 4) + case when event_id % 4 = 0 then 0.7 else 0 end end as double) c from events""")
@@ -354,9 +366,10 @@ def confidence_gate(spark, sf):
     return dedup.confident(event_claims(spark, sf)).select("id")
 
 
-@query(f"with {GRAPH} select id from e where id not in (select subject_id from k union select object_id from k)")
+@query(f"with {GRAPH} select id from e where id not in (select subject_id from k where status = 'historical' union select object_id from k where status = 'historical')")
 def orphan_entities(spark, sf):
-    return dedup.orphans(graph_entities(spark, sf), graph_claims(spark, sf)).select("id")
+    """Entities that no historical claim mentions."""
+    return dedup.orphans(graph_entities(spark, sf), graph_claims(spark, sf).where("status = 'historical'")).select("id")
 
 
 @query(f"with {GRAPH} select id from e where id in (select subject_id from k union select object_id from k)")
@@ -381,7 +394,7 @@ def undone_last_merge(spark, sf):
     return store, log, one, one is not None and store.undo_merge(one.id)
 
 
-@query()
+@query(f"with {EVT}, g as (select subject_name, object_name, count(*) n from c group by 1, 2) select (select count(*) from g where n > 1) > 0 undone, case when (select count(*) from g where n > 1) > 0 then 2 else 0 end restored, case when (select count(*) from g where n > 1) > 0 then -1 else 0 end log_change")
 def undo_merge_roundtrip(spark, sf):
     """Merge all claims, undo the last merge, and compare with the snapshots."""
     store, log, one, undone = undone_last_merge(spark, sf)
@@ -431,8 +444,8 @@ def dist_grouping_sets(spark, sf):
 
 @query(f"with {GRAPH}, d as (select relation, count(*) n from k group by 1) select relation, round(n * 100.0 / greatest(sum(n) over (), 1), 6) pct from d")
 def dist_share_pct(spark, sf):
-    d = graph.distribution(graph_claims(spark, sf), "relation")
-    return d.crossJoin(F.broadcast(d.agg(F.sum("n").alias("all")))).select(F.col("value").alias("relation"), F.round(F.col("n") * 100.0 / F.greatest("all", F.lit(1)), 6).alias("pct"))
+    shares = graph.share_percent(graph.distribution(graph_claims(spark, sf), "relation"))
+    return shares.select(F.col("value").alias("relation"), F.round("pct", 6).alias("pct"))
 
 
 @query(f"with {NODES}, d as (select id, count(*) degree from (select subject_id id from k union all select object_id from k) group by 1) select nd.id, type, degree from d join nd using (id) order by degree desc, id limit 15")
@@ -464,9 +477,7 @@ def wcc_count(spark, sf):
 
 @query(f"with {NODES}, a as (select (select count(*) from nd) n, (select count(*) from k) m) select n, m, round(m / (n * (n - 1.0)), 9) density from a")
 def graph_density(spark, sf):
-    nodes, edges = _graph(spark, sf)
-    both = nodes.agg(F.count(F.lit(1)).alias("n")).crossJoin(edges.agg(F.count(F.lit(1)).alias("m")))
-    return both.withColumn("density", F.round(F.when(F.col("n") > 1, F.col("m") / (F.col("n") * (F.col("n") - 1.0))).otherwise(0.0), 9))
+    return graph.density_table(*_graph(spark, sf)).withColumn("density", F.round("density", 9))
 
 
 # ── retrieval ────────────────────────────────────────────────────────────────────────────────────────────────────
@@ -475,7 +486,9 @@ def _seeds(spark, sf):
 
 
 def _ranked(spark, sf):
-    return retrieve.ranked_claims(retrieve.one_hop(claim_vectors(spark, sf), _seeds(spark, sf)), question(spark, sf), 20)
+    scratch = Scratch(spark, "ranked")
+    seeds = scratch.write(_seeds(spark, sf), "seeds")
+    return scratch.write(retrieve.ranked_claims(retrieve.one_hop(claim_vectors(spark, sf), seeds), question(spark, sf), 20), "ranked")
 
 
 @query(f"with {VEC} select id, name, round(sim, 6) sim from seeds")
@@ -485,7 +498,8 @@ def entity_topk(spark, sf):
 
 @query(f"with {VEC} select id from cand")
 def one_hop_expand(spark, sf):
-    return retrieve.one_hop(graph_claims(spark, sf), _seeds(spark, sf)).select("id")
+    seeds = Scratch(spark, "seeds").write(_seeds(spark, sf), "seeds")
+    return retrieve.reached(graph_claims(spark, sf), seeds).select("id")
 
 
 @query(f"with {VEC} select rnk as rank, id, round(score, 6) score from rk")
@@ -504,7 +518,7 @@ def evidence_snippets(spark, sf):
 
 @query(f"with {VEC} select string_agg('[' || case when status = 'current' then '✓' else '⟲' end || '] ' || subject_name || ' —' || relation || '→ ' || object_name || ' (confidence: ' || printf('%.2f', confidence) || ', evidence: ' || len(orders) || ' sources)', chr(10) order by rnk) context_summary from rk where rnk <= 10")
 def context_summary(spark, sf):
-    return retrieve.context_summary(_ranked(spark, sf))
+    return retrieve.context_summary(_ranked(spark, sf)).select("context_summary")
 
 
 @query(f"with {SNIP} select 'vector 0' question, (select count(*) from seeds) entities, (select count(*) from rk where rnk <= 10) claims, (select count(*) from sn) snippets, (select string_agg(id, ',' order by sim desc, id) from seeds) entity_ids")
@@ -561,9 +575,11 @@ def claims_for_entity(spark, sf):
     return browse.claims_of(graph_claims(spark, sf), "s7").select("id")
 
 
-@query(f"with {GRAPH} select id from k where (subject_id = 'n3' and object_id = 'r1') or (subject_id = 'r1' and object_id = 'n3')")
+@query(f"with {GRAPH} select id from k where (subject_id = 'n3' and object_id = 'r1') or (subject_id = 'r1' and object_id = 'n3') or (subject_id in ('s1', 'n17') and object_id in ('s1', 'n17')) or (subject_id = 'n0' and object_id = 'r0')")
 def claims_between(spark, sf):
-    return browse.claims_between(graph_claims(spark, sf), "r1", "n3").select("id")
+    c = graph_claims(spark, sf)
+    pairs = [browse.claims_between(c, a, b).select("id") for a, b in (("r1", "n3"), ("s1", "n17"), ("r0", "n0"))]
+    return pairs[0].union(pairs[1]).union(pairs[2])
 
 
 @query("select p_partkey from part where contains(lower(p_name), 'an') or contains(lower(p_brand), 'an')")
@@ -607,5 +623,22 @@ def event_sessions(spark, sf):
 
 
 @query("select count(*) messages, count(distinct conv_id) threads, cast(sum(length(text)) as bigint) chars from conversations")
-def pipeline_totals(spark, sf):
+def message_totals(spark, sf):
     return messages(spark, sf).agg(F.count(F.lit(1)).alias("messages"), F.count_distinct("conv_id").alias("threads"), F.sum(F.length("body")).alias("chars"))
+
+
+@query(f"with {GRAPH}, {EVT} select (select count(*) from e) entities, (select count(*) from (select distinct subject_name, object_name from c)) claims, (select count(*) from c) - (select count(*) from (select distinct subject_name, object_name from c)) merges")
+def store_totals(spark, sf):
+    return graph.totals(graph_entities(spark, sf), _merged(spark, sf), dedup.claim_merges(event_claims(spark, sf)))
+
+
+@query(f"with {GRAPH} select distinct type as value from e union all select distinct relation from k union all select distinct status from k")
+def distinct_lists(spark, sf):
+    e, c = graph_entities(spark, sf), graph_claims(spark, sf)
+    return browse.distinct_values(e, "type").union(browse.distinct_values(c, "relation")).union(browse.distinct_values(c, "status"))
+
+
+@query("""select conv_id thread_id, count(*) message_count, string_agg(distinct role, ',' order by role) participants, md5(string_agg(text, chr(10) order by turn)) bodies_md5 from conversations group by 1""")
+def nested_threads(spark, sf):
+    t = threads.nested(messages(spark, sf))
+    return t.select("thread_id", "message_count", F.array_join("participants", ",").alias("participants"), F.md5(F.array_join(F.transform("messages", lambda m: m["body"]), "\n")).alias("bodies_md5"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import email
 import email.policy
 import email.utils
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -118,14 +119,12 @@ def thread_messages(threads: DataFrame) -> DataFrame:
 
 
 def read_source(spark: SparkSession, maildir: str | None = None, threads: str | None = None, fallback: DataFrame | None = None) -> DataFrame:
-    """Messages from the first source that is given: a mail folder, a thread file, or a table of our own."""
+    """Messages from the first source that is given: a mail folder, a thread file, a table; else the sample threads."""
     if maildir:
         return read_maildir(spark, maildir)
     if threads:
         return thread_messages(read_threads(spark, threads))
-    if fallback is None:
-        raise ValueError("no source given")
-    return fallback
+    return thread_messages(sample_threads(spark)) if fallback is None else fallback
 
 
 def remaining(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -134,25 +133,71 @@ def remaining(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 class Stage:
-    """A staged output partitioned by key hash: finished keys are skipped on a rerun, partitions are replaced as wholes."""
+    """Staged output in batches. A batch's tables are written first and its finished keys last; only batches with a
+    complete key list are read, so what a killed run left half written is ignored and its keys are done again."""
 
     def __init__(self, spark: SparkSession, path: str, key: str) -> None:
         self.spark, self.path, self.key = spark, path, key
 
+    def _fs(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def batches(self) -> list[str]:
+        """Names of the finished batches."""
+        fs, done = self._fs(f"{self.path}/done")
+        if not fs.exists(done):
+            return []
+        names = sorted(x.getPath().getName() for x in fs.listStatus(done))
+        return [n for n in names if fs.exists(self._fs(f"{self.path}/done/{n}/_SUCCESS")[1])]
+
     def exists(self) -> bool:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
+        return bool(self.batches())
 
     def todo(self, work: DataFrame) -> DataFrame:
-        return remaining(work, self.read(), self.key) if self.exists() else work
+        return remaining(work, self.read("done"), self.key) if self.exists() else work
 
-    def add(self, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self.path)
+    def add(self, keys: DataFrame, **tables: DataFrame) -> None:
+        """One batch: its tables, then the keys that are finished by it."""
+        name = f"batch-{uuid.uuid4().hex[:12]}"
+        for table, rows in tables.items():
+            rows.write.mode("overwrite").parquet(f"{self.path}/{table}/{name}")
+        keys.select(self.key).distinct().write.mode("overwrite").parquet(f"{self.path}/done/{name}")
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+    def read(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/{table}/{n}" for n in self.batches()])
 
 
 def write_json(df: DataFrame, path: str) -> str:
     df.write.mode("overwrite").json(path)
     return path
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame | None:
+    """A written stage's rows; None where it is not there yet (pages show nothing then)."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.json(path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
+
+
+# Our own small mailbox for trying things out without any files: topics, and who writes what in turn.
+SAMPLE_PEOPLE = ("ines.moor@harbour.example", "tom.ravel@harbour.example", "uma.berg@harbour.example", "leo.finch@quay.example")
+SAMPLE_TOPICS = ("Crane lease", "Night shift rota", "Dredging permit", "Customs system", "Berth four repair", "Insurance renewal", "Tug contract", "Fuel hedge", "Ferry timetable", "Warehouse fire drill", "Union talks", "Audit findings", "Container backlog", "Pilot training", "Quay extension")
+SAMPLE_TURNS = (
+    "I proposed on the {t} that we spend $1.2M and close the matter this month; the CFO wants the figures before the board meets.",
+    "The President approved the {t} in principle, but I am concerned about the cost and recommend a second opinion from London.",
+    "We filed the papers for the {t} today. The price is now $900K, and the Head of Operations decided to go on as planned.",
+    "I warned about delays with the {t}: the supplier in Houston has terminated one contract, so dates may move again.",
+    "Thanks to all. The {t} is done, the General Counsel has signed, and the remaining $75K will be paid on delivery.",
+)
+
+
+def sample_threads(spark: SparkSession) -> DataFrame:
+    """Nested threads made by rule: one for each topic, a message for each turn, each an answer to the one before."""
+    rows = []
+    for i, topic in enumerate(SAMPLE_TOPICS):
+        mails = []
+        for j, text in enumerate(SAMPLE_TURNS):
+            sender, to = SAMPLE_PEOPLE[(i + j) % len(SAMPLE_PEOPLE)], SAMPLE_PEOPLE[(i + j + 1) % len(SAMPLE_PEOPLE)]
+            mails.append((f"s{i:02d}{j}", f"<s{i}.{j}@harbour.example>", f"<s{i}.{j - 1}@harbour.example>" if j else "", "", sender, to, topic if not j else f"Re: {topic}", f"2001-{i % 12 + 1:02d}-{j + 1:02d}T09:00:00", text.format(t=topic.lower())))
+        rows.append((f"sample_{i:02d}", topic, len(mails), sorted({m[4] for m in mails}), mails))
+    return spark.createDataFrame(rows, THREAD_JSON)

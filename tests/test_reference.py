@@ -117,7 +117,7 @@ def test_model_extraction(spark):
     m = mails(spark, [(1, "a", "", [], "x@y", "", "S", "1", "The Deal was Signed"), (2, "b", "a", [], "z@y", "", "S", "2", "ok")]).withColumn("thread_id", F.lit("t"))
     replies = iter(["[]", "{}", '{"entities": [{"name": "Bob", "type": "org", "aliases": "B"}, {"name": " "}], "claims": [{"subject": "Bob", "relation": "decided", "object": "Deal", "confidence": 0, "quote": "the deal WAS", "email_id": "nope"}, {"subject": "", "object": "x"}, {"subject": "New", "relation": "x", "object": "Bob", "quote": "", "email_id": "e2"}]}'])
     prompts = model_extract.thread_prompts(m)
-    assert "[Email 2]" in prompts.first().prompt
+    assert "#2 id=e2 | z@y" in prompts.first().prompt
     replies = list(replies)
     raw = model_extract.ask(prompts, lambda p: replies[2], usable=lambda t: t not in ("{}", "[]"))
     parsed = model_extract.responses(raw)
@@ -191,7 +191,7 @@ def test_artifacts_keep_all_rows(spark):
     df = spark.createDataFrame([("a", 0, "Same text"), ("b", 1, ""), ("c", 2, " same TEXT "), ("d", 3, "")], "source_id string, seq long, excerpt string")
     got = {r.source_id: (r.canonical_id, r.group_size) for r in dedup.artifact_groups(df).collect()}
     assert got == {"a": ("a", 2), "b": ("b", 1), "c": ("a", 2), "d": ("d", 1)}
-    moved = dedup.resequenced(df.select("source_id", "seq"), dedup.artifact_groups(df)).orderBy("place").collect()
+    moved = dedup.resequenced(df.select("source_id"), dedup.artifact_groups(df)).orderBy("artifact_place").collect()
     assert [r.source_id for r in moved] == ["a", "c", "b", "d"]
 
 
@@ -294,8 +294,11 @@ def test_thread_json_and_resume(spark, tmp_path):
     assert {r.sender for r in flat.collect()} == {"a", "z"}
     stage = mail.Stage(spark, str(tmp_path / "stage"), "thread_id")
     assert stage.todo(threads_).count() == 2
-    stage.add(threads_.where("thread_id = 't'").select("thread_id", "subject"))
+    threads_.select("thread_id", "subject").write.parquet(str(tmp_path / "stage" / "subjects" / "batch-killed"))  # a run that died before its keys
+    stage.add(threads_.where("thread_id = 't'"), subjects=threads_.where("thread_id = 't'").select("thread_id", "subject"))
     assert [r.thread_id for r in stage.todo(threads_).collect()] == ["flat_9"]
+    assert [r.subject for r in stage.read("subjects").collect()] == ["S"]
+    assert threads.nested(flat.withColumn("refs", F.array().cast("array<string>"))).orderBy("thread_id").first().message_count == 1
 
 
 def test_store_round_trip(spark, tmp_path):
@@ -322,19 +325,94 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     assert sorted(r.body for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["x", "y", "z"]
 
 
-def test_full_build(spark, tmp_path):
+def test_build_from_thread_files(spark, tmp_path):
     from memloom.pipeline import run
 
-    body = "The board approved the $5M plan and the CFO was concerned about Houston and Raptor. " * 2
-    rows = [(i, f"m{i}", f"m{i - 1}" if i else "", [], f"p{i % 3}.x@enron.com", f"p{(i + 1) % 3}.x@enron.com", "Plan", f"2001-0{i + 1}", body) for i in range(6)]
-    stats = run(spark, mails(spark, rows), str(tmp_path / "build"), questions=["who approved?"], least=2)
+    sample = mail.sample_threads(spark)
+    assert (sample.count(), sample.agg(F.sum("message_count")).first()[0]) == (15, 75) and mail.read_source(spark).count() == 75
+    (tmp_path / "t.json").write_text("[" + ",".join(sample.limit(3).toJSON().collect()) + "]")
+    source = mail.read_source(spark, threads=str(tmp_path / "t.json"))
+    out = str(tmp_path / "build")
+    stats = run(spark, source, out, questions=["who approved?"])
     assert stats["total_edges"] > 10 and stats["grounding_coverage"] == "100.0%"
-    pack = spark.read.json(str(tmp_path / "build" / "context_packs")).first()
+    pack = spark.read.json(f"{out}/context_packs").first()
     assert pack.question == "who approved?" and "Relevant Facts" in pack.generated_answer
-    again = run(spark, mails(spark, rows), str(tmp_path / "build"), least=2, skip_extract=True)
+    again = run(spark, source, out, skip_extract=True)
     assert again["total_edges"] == stats["total_edges"]
 
 
+def maildir(tmp_path, n=6):
+    """Two threads of mails in files whose hashed numbers are large."""
+    for t, who in (("Plan", "lay-k"), ("Deal", "skilling-j")):
+        box = tmp_path / "mail" / who / "sent"
+        box.mkdir(parents=True)
+        for i in range(n):
+            body = f"The board approved the $5M {t} and the CFO was concerned about Houston and Raptor, number {i}. " * 3
+            reply = f"In-Reply-To: <{t}{i - 1}@x>\n" if i else ""
+            (box / str(i)).write_text(f"Message-ID: <{t}{i}@x>\n{reply}From: p{i % 3}.x@enron.com\nTo: p{(i + 1) % 3}.x@enron.com\nSubject: {t}\nDate: Mon, {i + 1} Feb 2001 10:00:00 -0800\n\n{body}")
+    return str(tmp_path / "mail")
+
+
+def test_build_from_mail_files_goes_on_after_a_kill(spark, tmp_path):
+    from memloom.operators.graph import load_node_link, load_stats
+    from memloom.pipeline import run
+
+    out = str(tmp_path / "build")
+    messages = mail.read_maildir(spark, maildir(tmp_path))
+    assert messages.agg(F.max("seq")).first()[0] > 1 << 50
+    stage = mail.Stage(spark, f"{out}/extracted", "thread_id")
+    chosen, _ = threads.select_threads(messages, least=2)
+    one = chosen.limit(1).select("thread_id")
+    ents, found = (spark.createDataFrame([], "thread_id string, place struct<msg:long,rule:int,hit:int>, " + kind.replace("seq long, ", "")) for kind in (schemas.ENTITY, schemas.CLAIM))
+    stage.add(one, entities=ents, claims=found)  # a run before finished one thread, without any finding
+    stats = run(spark, messages, out, questions=["who approved?", "what of Houston?"], least=2, wave=1)
+    assert stage.read("done").count() == 2 and stage.read("entities").select("thread_id").distinct().count() == 1
+    packs = {r.question: r for r in spark.read.json(f"{out}/context_packs").collect()}
+    assert set(packs) == {"who approved?", "what of Houston?"} and all("Relevant Facts" in r.generated_answer for r in packs.values())
+    assert load_stats(spark, f"{out}/graph_stats") == stats and load_stats(spark, f"{out}/nothing") == {}
+    nodes, edges = load_node_link(spark, f"{out}/graph_json")
+    assert (nodes.count(), edges.count()) == (stats["total_nodes"], stats["total_edges"])
+    e, c = spark.read.parquet(f"{out}/deduped/entities"), spark.read.parquet(f"{out}/deduped/claims")
+    log = spark.read.parquet(f"{out}/deduped/merge_log")
+    assert tuple(graph.totals(e, c, log).first()) == (e.count(), c.count(), log.count())
+    assert [r.value for r in browse.distinct_values(c, "status").collect()] == sorted({r.status for r in c.collect()})
+
+
+def test_artifact_order_decides_winners(spark):
+    """The third thread opens like the first, so its entity comes before the second thread's and wins the merge."""
+    ents = spark.createDataFrame([("t2", 1, "i2", "ANN "), ("t3", 1, "i3", "Ann"), ("t1", 1, "i1", "Bob")], "thread_id string, place int, id string, name string")
+    ents = ents.select("*", F.lit("Person").alias("type"), F.array().cast("array<string>").alias("aliases"), F.lit("1").alias("first_seen"), F.lit("1").alias("last_seen"), F.map_from_arrays(F.array(F.lit("k")), F.array(F.lit("v"))).alias("metadata"))
+    found = claims(spark, [(0, "i1", "Bob", "owes", "i3", "Ann", 0.9, "1", [("m", "x")]), (1, "i2", "ANN ", "manages", "i1", "Bob", 0.9, "1", [("m", "x")])]).drop("seq")
+    found = found.select("*", F.when(F.col("relation") == "owes", "t1").otherwise("t2").alias("thread_id"), F.lit(1).alias("place"))
+    artifacts = spark.createDataFrame([("t1", 1, "Same"), ("t2", 2, "Other"), ("t3", 3, " same")], "source_id string, seq long, excerpt string")
+    one = lambda c: F.when(F.lower(F.trim(c)) == "bob", F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0)))
+    done = dedup.Deduplicator(ents, found, one, artifacts=artifacts).run_full_pipeline()
+    assert {r.id for r in done.entities.collect()} == {"i1", "i3"}
+    assert {(r.subject_id, r.object_id) for r in done.claims.collect()} == {("i1", "i3"), ("i3", "i1")}
+
+
+def test_search_answers(spark):
+    q = spark.createDataFrame([("q",)], "question string").withColumn("qvec", F.array(F.lit(1.0)))
+    ents = spark.createDataFrame([("a", "A", "Person")], "id string, name string, type string").withColumn("vec", F.array(F.lit(1.0)))
+    df = claims(spark, [(0, "a", "A", "works_at", "b", "B", 0.8, "1", [("m", "seen it")])]).withColumn("vec", F.array(F.lit(0.5)))
+    found = retrieve.searched(retrieve.mixed_search(ents, df, q), ents, df)
+    assert retrieve.search_answer(found).first().answer == "• **A** (Person)\n• A **works at** B  *(confidence: 80%, 1 evidence)*"
+    assert '"seen it" from' in retrieve.search_prompt(found, "who?").first().prompt
+    assert retrieve.search_reply(found, "who?", None) is None and retrieve.search_reply(found, "who?", lambda p: "fine") == "fine"
+    assert retrieve.search_reply(found, "who?", lambda p: 1 / 0).startswith("model error")
+
+
+def test_questions_have_windows_of_their_own(spark):
+    vec = lambda x, y: F.array(F.lit(x), F.lit(y))
+    ents = spark.createDataFrame([(f"e{i}", f"E{i}", "Person", [float(i), 5.0 - i]) for i in range(6)], "id string, name string, type string, vec array<double>")
+    df = claims(spark, [(i, f"e{i}", f"E{i}", "owes", f"e{(i + 1) % 6}", f"E{(i + 1) % 6}", 0.9, "1", [("m", f"x{i}")]) for i in range(6)]).withColumn("vec", vec(1.0, 0.0))
+    both = spark.createDataFrame([(1, "x?", [1.0, 0.0]), (2, "y?", [0.0, 1.0])], "question_id long, question string, qvec array<double>")
+    packs = {r.question_id: r for r in retrieve.context_packs(both, ents, df, k=2).collect()}
+    for r in both.collect():
+        alone = retrieve.context_pack(both.where(f"question_id = {r.question_id}").drop("question_id"), ents, df, k=2).first()
+        assert all(getattr(alone, c) == getattr(packs[r.question_id], c) for c in ("matched_entities", "relevant_claims", "evidence_snippets", "context_summary"))
+
+
 def test_retraction_and_acl(spark):
     df = claims(spark, [(0, "a", "A", "owes", "b", "B", 0.9, "1", [("m", "x"), ("k", "y")]), (1, "a", "A", "owes", "c", "C", 0.9, "1", [("m", "x")]), (2, "a", "A", "owes", "d", "D", 0.9, "1", [])])
     out = {r.id: (r.status, [e.source_id for e in r.evidence]) for r in ingest.retract_source(df, spark.createDataFrame([("m",)], "source_id string")).collect()}
