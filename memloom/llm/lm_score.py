@@ -114,12 +114,12 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number]), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "size", "a"])
 
     for batch in batches:
-        for low, high, data, _ in at.slices(batch.column("text"), BLOCK_BYTES):
-            held.append(batch.slice(low, high - low))
-            size += len(data)
-            if size >= BLOCK_BYTES:
+        for low, high, data, _ in at.slices(batch.column("text"), BLOCK_BYTES // 2):
+            if held and size + len(data) > BLOCK_BYTES:
                 yield out()
                 number, held, size = number + 1, [], 0
+            held.append(batch.slice(low, high - low))
+            size += len(data)
     if held:
         yield out()
 
@@ -147,11 +147,10 @@ class Block:
         table = pa.ipc.open_stream(pa.py_buffer(raw)).read_all().combine_chunks()
         self.ids = table.column("id").combine_chunks()
         self.target = np.asarray(table.column("target").to_numpy(), bool)
-        column = table.column("text").combine_chunks()
-        data, offsets = at.utf8(column)
-        words, first = tokens(data, offsets, unit)
-        self.sizes = np.diff(first)
-        words, self.first = marked(words, first)
+        # Slice by slice: hashing takes many times a text's bytes.
+        parts = [tokens(data, offsets, unit) for _, _, data, offsets in at.slices(table.column("text").combine_chunks())]
+        self.sizes = np.concatenate([np.diff(first) for _, first in parts])
+        words, self.first = marked(np.concatenate([w for w, _ in parts]), np.concatenate([[0], np.cumsum(self.sizes)]))
         self.row = np.repeat(np.arange(len(self.sizes)), np.diff(self.first))
         self.keys = gram_keys(words, self.first, order)
         self.grams, self.n, self.wanted = block_counts(self.keys, self.target[self.row])
