@@ -4,19 +4,19 @@ Documents stay where they are: each slice of a record batch is a shard with its
 own suffix array over words, and every benchmark suffix (cut at the window
 length) is binary-searched in it. The range it finds holds all verbatim
 occurrences; occurrences of one item that follow each other at the same distance
-are one longer match, so the longest match and its place come out as well. There
-is no shuffle, and a shard's memory is bounded by the slice.
+are one longer match, so the longest match of each text and its place come out as
+well. There is no shuffle, and a shard's memory is bounded by the slice.
 
 A suffix can only begin a match if as many benchmark words follow each other as
 the window has, so the arrays keep just those suffixes.
 
-The benchmark is gathered in parts of at most ``part_bytes`` of text; each part is a
-broadcast of that bound and all parts are searched, so a large benchmark takes
-more passes over the words in memory and loses nothing.
+The benchmark is searched in parts of at most ``part_bytes`` of text (or one longer item), one after the other: a
+part is gathered, broadcast (some 30 bytes for a byte of text in a worker), searched in all documents and destroyed. With one part, the usual case, the
+documents are read once and nothing is written; with more, rows are numbered in a written copy, and each part adds only the rows that it hits.
 
 Defined results: a null or word-less text has no words and no hits; an item
 without words matches nothing; an item shorter than the window is one window of
-its own length; repeated rows each get their own result; extra columns are
+its own length; items without an id are ignored, ids are of any type; repeated rows each get their own result; extra columns are
 ignored by ``benchmark_matches`` and returned as they are by ``remove_contaminated``.
 """
 
@@ -27,33 +27,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from memloom.operators.scratch import Scratch
 
 from . import arrowtext as at
 
 WINDOW = 10
-PART_BYTES = 16 << 20
-
-MATCH_SCHEMA = "n_words long, n_hit long, items array<long>, hits array<struct<start:long,length:long>>, longest_words long, longest_start long"
-
+PART_BYTES = 2 << 20
 
 class BenchmarkPart:
     """Windows of some benchmark items: sorted keys by window length, each with its (item, offset) pairs."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int) -> None:
+    def __init__(self, items: list[tuple[object, str]], window: int) -> None:
         column = pa.array([t or "" for _, t in items], pa.large_string())
         data, offsets = at.utf8(column)
         words, first = at.hashed_words(data, offsets, at.PLAIN_WORDS)
         self.vocabulary = np.unique(words)
         ids = np.searchsorted(self.vocabulary, words).astype(np.uint32) + np.uint32(1)
-        names = np.array([i for i, _ in items], np.int64)
+        self.names = [i for i, _ in items]
         sizes = np.diff(first)
         self.groups = []
         for length in sorted(set(np.minimum(sizes[sizes > 0], window).tolist())):
             rows = np.flatnonzero(np.minimum(sizes, window) == length)
             starts = np.concatenate([np.arange(first[r], first[r + 1] - length + 1) for r in rows])
-            owner = np.repeat(names[rows], sizes[rows] - length + 1)
+            owner = np.repeat(rows, sizes[rows] - length + 1)
             offset = starts - np.repeat(first[rows], sizes[rows] - length + 1)
             keys, back = np.unique(suffix_keys(ids, starts, length), return_inverse=True)
             order = np.argsort(back, kind="stable")
@@ -81,11 +81,13 @@ class Shard:
         self.rows = len(offsets) - 1
         self.cover = np.zeros(len(self.words) + 1, np.int32)
         self.items: list[tuple[np.ndarray, np.ndarray]] = []
+        self.names: list[object] = []
         self.longest = np.zeros(self.rows, np.int64)
         self.longest_at = np.full(self.rows, -1, np.int64)
 
     def search(self, part: BenchmarkPart) -> None:
         n = len(self.words)
+        self.names = part.names
         if not n or not len(part.vocabulary):
             return
         ids = np.searchsorted(part.vocabulary, self.words)
@@ -133,11 +135,11 @@ class Shard:
         hit = np.cumsum(self.cover[:-1]) > 0
         before = np.concatenate([[0], np.cumsum(hit)])
         n_hit = before[self.first[1:]] - before[self.first[:-1]]
-        items: list[list[int]] = [[] for _ in range(self.rows)]
+        items: list[list[object]] = [[] for _ in range(self.rows)]
         if self.items:
             row, item = (np.concatenate(x) for x in zip(*self.items))
             for r, i in np.unique(np.stack([row, item]), axis=1).T.tolist():
-                items[r].append(i)
+                items[r].append(self.names[i])
         starts, ends, of = at.runs(hit, self.first)
         spans = [
             [{"start": int(s - self.first[r]), "length": int(e - s)} for s, e in zip(starts[of[r] : of[r + 1]], ends[of[r] : of[r + 1]])]
@@ -146,55 +148,96 @@ class Shard:
         return {"n_words": n_words, "n_hit": n_hit, "items": items, "hits": spans, "longest_words": self.longest, "longest_start": self.longest_at}
 
 
-def benchmark_parts(benchmark: DataFrame, window: int, id_col: str, text_col: str, part_bytes: int) -> list:
-    """Broadcasts that hold all items, each of at most about ``part_bytes`` of text (or one longer item)."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).where("i is not null")
+def benchmark_parts(benchmark: DataFrame, window: int, id_col: str, text_col: str, part_bytes: int) -> Iterator[BenchmarkPart]:
+    """All items in parts of about ``part_bytes`` of text, one held at a time; there is at least one part."""
+    items = benchmark.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).where("i is not null")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     count = max(1, math.ceil(total / part_bytes))
-    parts = []
     for k in range(count):
         rows = [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(count)) == k).orderBy("i").toLocalIterator()]
-        if rows:
-            parts.append(spark.sparkContext.broadcast(BenchmarkPart(rows, window)))
-    return parts
-
-
-def _searched(batch: pa.RecordBatch, text_col: str, parts: list) -> list[Shard]:
-    shards = [Shard(data, offsets) for _, _, data, offsets in at.slices(batch.column(text_col))]
-    for part in parts:
-        for shard in shards:
-            shard.search(part.value)
-    return shards
+        if rows or count == 1:
+            yield BenchmarkPart(rows, window)
 
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
-    """One row per document: words, hit words, matching items, hit spans (in words) and the longest match."""
-    parts = benchmark_parts(benchmark, window, item_col, item_text_col, part_bytes)
-    kind = docs.schema[id_col].dataType.simpleString()
-    types = {f.name: f for f in pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), ("longest_words", pa.int64()), ("longest_start", pa.int64())])}
+def _search(docs: DataFrame, part, columns: list[str], item_type) -> DataFrame:
+    """``columns`` and the matches of one part for every row; ``part`` is broadcast."""
+    types = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(to_arrow_type(item_type)), "hits": pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), "longest_words": pa.int64(), "longest_start": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row = 0
-            for shard in _searched(batch, "text", parts):
+            for low, high, data, offsets in at.slices(batch.column("text")):
+                shard = Shard(data, offsets)
+                shard.search(part.value)
                 out = shard.results()
-                columns = [batch.column("id").slice(row, shard.rows)] + [pa.array(v, types[k].type) for k, v in out.items()]
-                row += shard.rows
-                yield pa.RecordBatch.from_arrays(columns, ["id", *out])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(low, high - low) for c in columns], *[pa.array(v, types[k]) for k, v in out.items()]], [*columns, *out])
 
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return at.mapped(found, run, f"id {kind}, {MATCH_SCHEMA}").withColumnRenamed("id", id_col)
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns]
+    return at.mapped(docs, run, ", ".join([*kinds, f"n_words long, n_hit long, items array<{item_type.simpleString()}>, hits array<struct<start:long,length:long>>, longest_words long, longest_start long"]))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
-    """The documents without any hit, with all their columns."""
+def joined_spans(spans: Column) -> Column:
+    """Sorted spans, those that overlap or touch as one."""
+    kind = "array<struct<start:bigint,length:bigint>>"
+
+    def step(done: Column, s: Column) -> Column:
+        last = F.element_at(done, -1)
+        end = F.greatest(last["start"] + last["length"], s["start"] + s["length"])
+        longer = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), (end - last["start"]).alias("length"))))
+        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["start"] + F.try_element_at(done, F.lit(-1))["length"] >= s["start"]), longer).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(kind), step)
+
+
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+    """One row per document: words, hit words, matching items, hit spans (in words) and the longest match (0 words at -1 if there is none)."""
+    context, item_type = docs.sparkSession.sparkContext, benchmark.schema[item_col].dataType
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = benchmark_parts(benchmark, window, item_col, item_text_col, part_bytes)
+    part, following = next(parts), next(parts, None)
+    if following is None:
+        return _search(texts, context.broadcast(part), ["id"], item_type).withColumnRenamed("id", id_col)
+    scratch = Scratch(docs.sparkSession, "benchmark")
+    texts = scratch.write(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
+    number, hit, every = 0, None, None
+    while part is not None:
+        shared = context.broadcast(part)
+        found = _search(texts, shared, ["id", "row"], item_type)
+        every = every or scratch.write(found.select("id", "row", "n_words"), "words")
+        own = scratch.write(found.where("n_hit > 0").drop("id", "n_words", "n_hit"), f"part-{number}")
+        hit = own if hit is None else hit.unionByName(own)
+        shared.destroy()
+        part, following, number = following, next(parts, None), number + 1
+    best = F.max(F.struct("longest_words", (-F.col("longest_start")).alias("back")))
+    merged = hit.groupBy("row").agg(F.flatten(F.collect_list("items")).alias("items"), joined_spans(F.flatten(F.collect_list("hits"))).alias("hits"), best.alias("best"))
+    out = every.join(merged, "row", "left")
+    n_hit = F.aggregate(F.coalesce("hits", F.array().cast("array<struct<start:bigint,length:bigint>>")), F.lit(0).cast("long"), lambda a, s: a + s["length"])
+    return out.select(
+        F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.array_sort(F.coalesce("items", F.array().cast(f"array<{item_type.simpleString()}>"))).alias("items"),
+        F.coalesce("hits", F.array().cast("array<struct<start:bigint,length:bigint>>")).alias("hits"), F.coalesce("best.longest_words", F.lit(0).cast("long")).alias("longest_words"), F.coalesce(-F.col("best.back"), F.lit(-1).cast("long")).alias("longest_start"),
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            clean = [pa.array(shard.results()["n_hit"] == 0) for shard in _searched(batch, text_col, parts)]
-            if clean:
-                yield batch.filter(pa.concat_arrays(clean))
 
-    return at.mapped(docs, run, docs.schema)
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+    """The documents without any hit, with all their columns. With several parts, what one part leaves is written and searched for the next."""
+    context, scratch = docs.sparkSession.sparkContext, Scratch(docs.sparkSession, "benchmark")
+
+    def clean(rows: DataFrame, shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for low, high, data, offsets in at.slices(batch.column(text_col)):
+                    shard = Shard(data, offsets)
+                    shard.search(shared.value)
+                    yield batch.slice(low, high - low).filter(pa.array(shard.results()["n_hit"] == 0))
+
+        return at.mapped(rows, run, docs.schema)
+
+    parts = benchmark_parts(benchmark, window, item_col, item_text_col, part_bytes)
+    part, following, number = next(parts), next(parts, None), 0
+    while True:
+        shared = context.broadcast(part)
+        left = clean(docs, shared)
+        if following is None:
+            return left
+        docs = scratch.write(left, f"left-{number}")
+        shared.destroy()
+        part, following, number = following, next(parts, None), number + 1

@@ -424,7 +424,9 @@ def test_decontamination_longest_match_and_parts(spark, odd_docs, no_docs):
         got = rows(decontaminate.benchmark_matches(docs, bench, part_bytes=part))
         assert [got[i].items for i in range(4)] == [[1], [2], [], [1]]
         assert got[0].longest_words == got[0].n_hit and got[0].longest_start == 1 and got[3].n_hit == 60 and got[1].hits[0].start == 1
-    assert [r.doc_id for r in decontaminate.remove_contaminated(docs, bench).collect()] == [2]
+        assert [r.doc_id for r in decontaminate.remove_contaminated(docs, bench, part_bytes=part).collect()] == [2]
+    named = bench.select(F.concat(F.lit("q"), "item_id").alias("item_id"), "text").union(spark.createDataFrame([(None, "a tiny")], "item_id string, text string"))
+    assert [r["items"] for r in decontaminate.benchmark_matches(docs, named).orderBy("doc_id").collect()] == [["q1"], ["q2"], [], ["q1"]]
     assert decontaminate.remove_contaminated(odd_docs, bench).count() == 10
     assert decontaminate.benchmark_matches(no_docs, bench).count() == 0 and decontaminate.benchmark_matches(docs, bench.limit(0)).count() == 4
 
