@@ -194,9 +194,12 @@ def scan(docs: DataFrame, models: MarkovModels | None, *, id_col: str = "doc_id"
                     starts, ends = open_runs(data, offsets, found, least)
                     found += [(s, 3, e) for s, e in zip(starts.tolist(), ends.tolist()) if shared.value.is_random(raw[s:e])]
                 rows: list[list[dict[str, object]]] = [[] for _ in range(len(offsets) - 1)]
-                for s, k, e in sorted(found):
-                    row = int(np.searchsorted(offsets, s, "right")) - 1
-                    start = len(raw[offsets[row] : s].decode("utf-8", "surrogatepass"))
+                found.sort()
+                # Code points up to each byte once for the slice, however many spans it has.
+                points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]) if found else None
+                owner = np.searchsorted(offsets, [s for s, _, _ in found], "right") - 1
+                for row, (s, k, e) in zip(owner.tolist(), found):
+                    start = int(points[s] - points[offsets[row]])
                     rows[row].append({"kind": KINDS[k], "start": start, "end": start + e - s})
                 spans += rows
             if spans:
