@@ -1,27 +1,31 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by sparse suffixes.
 
 Of all suffixes (by word) only those at minimisers are kept: in every window of
 ``min_words`` words the suffix whose first ``GRAM`` words hash lowest. Windows of equal
 content choose the same suffix, so two documents that share a passage of
 ``min_words`` words share a kept suffix inside it.
 
-1. Kept suffixes are sorted by their first words, and neighbours are compared: those
-   that only one document has are dropped.
+1. Kept suffixes meet by the hash of their first words, and those that only one
+   document has are dropped.
 2. A kept suffix is responsible for a stretch of windows around it. Suffixes
    whose whole stretches agree need no further look: the match extends over all of it.
 3. Where a suffix has stretches of different content, it is extended to the left and right window
-   by window, one representative for each stretch that several documents share, and the
-   sorted windows are compared with their neighbours again.
+   by window, one representative for each stretch that several documents share, and
+   windows of equal content meet again.
 4. Matches that touch are joined per document, so that spans are maximal.
 
-The result is exact: a word is in a span if and only if it lies in ``min_words``
+Equal suffixes meet by hash aggregation, not by a global sort with a comparison of neighbours: the runs of equal keys
+that the comparison would find are the same groups, and an aggregation is made in parts before the shuffle, so that a passage that a third of all documents
+share is never one run in one task, which a sort by content would make of it.
+
+The result is exact but for collisions of 64-bit hashes: a word is in a span if and only if it lies in ``min_words``
 consecutive words that another document has too. Groups are aggregated before
 each shuffle; results go back to the rows by salted joins; the text is read again only
 where step 3 needs it.
 
 Defined results: words are split at blanks after lower-casing A-Z; a null text or one
 of fewer than ``min_words`` words has no spans; repeats within one document alone do not count;
-rows that repeat an id are one document; rows without an id and extra columns are ignored.
+rows that repeat an id are one document, whose text is the longest of them (of equally long ones the last in code point order); rows without an id and extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -127,6 +131,8 @@ def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, gram: int = G
     """One row per maximal repeated span: id, start_word, n_words, char_start, char_end, first_doc_id (the smallest that shares a part). Ids are integers."""
     scratch = Scratch(docs.sparkSession, "suffix")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    if _repeats(texts):
+        texts = scratch.write(texts.groupBy("id").agg(F.max(F.struct(F.length("text"), "text"))["text"].alias("text")), "texts")
     suffixes = at.mapped(texts, _stretcher(min_words, gram), "id long, first int, last int, begin int, end int, gram long, stretch long")
     suffixes = scratch.write(suffixes, "suffixes")
     # Written, so that the join below reads two plain shuffles and a gram that many rows have can be split.
@@ -141,7 +147,7 @@ def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, gram: int = G
     single = by_salt(open_.where("not many").select("stretch", "owner", "many", "__salts"))
     look = look.unionByName(kept.join(single, ["stretch", "__salt"]).select("id", "first", "last", "stretch", "owner", "many"))
     todo = look.groupBy("id").agg(F.collect_list(F.struct("first", "last", "stretch", "owner", "many")).alias("todo"))
-    windows = texts.dropDuplicates(["id"]).join(todo, "id") if _repeats(texts) else texts.join(todo, "id")
+    windows = texts.join(todo, "id")
     windows = at.mapped(windows.select("id", "text", "todo"), _extender(min_words), "content long, id long, word int, begin int, end int, stretch long, owner long, many boolean")
     windows = scratch.write(windows, "windows")
     found = windows.groupBy("content").agg(F.min("owner").alias("low"), F.max("owner").alias("high"), F.max("many").alias("any_many"), F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64) as int))")).alias("__salts"))
