@@ -8,24 +8,27 @@
    pairs more than four standard deviations below the threshold are dropped.
 3. Estimated pairs are confirmed on the full shingle sets.
 
-A bucket never yields all its pairs. First only its members against one hub are confirmed,
+A bucket never yields its pairs as rows. First only its members against one hub are confirmed,
 which makes most buckets one component. In what is left, members of different components are
 compared by signature inside blocks of bounded size; members that have a partner above the cut are
 marked, one row each. Marked members meet once more, now with their full sets, and each block
 joins them by confirmed links and reports only links that joined something. A pair counts in the first band
-that it shares. So every link between components is found, however large a bucket is,
-and no stage makes more rows than the buckets have members.
+that it shares. So every link between components is found, however large a bucket is. A bucket that still holds several components
+sends each member to as many blocks as it has thousands (of ``BLOCK``) of members; other buckets send each once.
 
-At a similarity of exactly 0.8 a pair shares no band with probability 3e-6.
+At a similarity of exactly 0.8 a pair shares no band with probability 3e-6, and its estimate lies below the cut with
+probability 3e-5; with ``sigmas=None`` there is no cut and all candidates are confirmed.
 
 Defined results: words are split at blanks after lower-casing A-Z; a text with fewer
 words than a shingle has is one shingle; without words the set is empty and linked with
 nothing; a row without an id is kept and has no component; extra columns are ignored by
-``near_duplicates`` and kept by ``deduplicate``; rows repeating an id are one document.
+``near_duplicates`` and kept by ``deduplicate``; rows repeating an id are one document with the longest of their texts,
+and each has its result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,10 +98,12 @@ def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (agree - chance) / (1 - chance)
 
 
-def lowest_estimate(percent: int) -> float:
+def lowest_estimate(percent: int, sigmas: float | None = SIGMAS) -> float:
+    if sigmas is None:
+        return -math.inf
     chance = 0.5**BITS
     agree = percent / 100 * (1 - chance) + chance
-    return percent / 100 - SIGMAS * float(np.sqrt(agree * (1 - agree) / MINIMA)) / (1 - chance)
+    return percent / 100 - sigmas * float(np.sqrt(agree * (1 - agree) / MINIMA)) / (1 - chance)
 
 
 def _sketcher(words: int):
@@ -143,7 +148,7 @@ def _set_maker(words: int):
 class Block:
     """The rows of one bucket's block (or pair of blocks) that were sent together."""
 
-    def __init__(self, parts: list[pa.RecordBatch], percent: int) -> None:
+    def __init__(self, parts: list[pa.RecordBatch], percent: int, sigmas: float | None = SIGMAS) -> None:
         table = pa.Table.from_batches(parts)
         self.key = table.column("key")[0].as_py()
         self.ids, self.comps, self.sizes = (table.column(c).to_numpy() for c in ("id", "comp", "n"))
@@ -154,7 +159,7 @@ class Block:
             self.edges = np.concatenate([[0], np.cumsum(self.sizes)])
             # Sets are sorted as unsigned numbers, Spark has them signed.
             self.grams = lists["grams"].flatten().to_numpy().view(np.uint64)
-        self.percent, self.cut = percent, lowest_estimate(percent)
+        self.percent, self.cut = percent, lowest_estimate(percent, sigmas)
 
     def partners(self, i: int, comp: np.ndarray, at_least: int = 0) -> np.ndarray:
         """Rows from ``at_least`` on that may be similar to row i, are in another component, and meet it here first."""
@@ -207,7 +212,7 @@ def spread(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total[-1]) - np.repeat(total - counts, counts) + np.repeat(first, counts)
 
 
-def _by_block(percent: int, method: str, names: list[str]):
+def _by_block(percent: int, method: str, names: list[str], sigmas: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (key, block); one block's rows are held at a time."""
         parts: list[pa.RecordBatch] = []
@@ -227,7 +232,7 @@ def _by_block(percent: int, method: str, names: list[str]):
                     continue
                 here = (int(key[a]), int(block[a]))
                 if here != at_ and parts:
-                    found.update(getattr(Block(parts, percent), method)())
+                    found.update(getattr(Block(parts, percent, sigmas), method)())
                     parts = []
                 at_ = here
                 parts.append(batch.slice(a, b - a))
@@ -235,17 +240,17 @@ def _by_block(percent: int, method: str, names: list[str]):
                 yield out()
                 found = set()
         if parts:
-            found.update(getattr(Block(parts, percent), method)())
+            found.update(getattr(Block(parts, percent, sigmas), method)())
         yield out()
 
     return run
 
 
-def hub_pairs(members: DataFrame, percent: int) -> DataFrame:
+def hub_pairs(members: DataFrame, percent: int, sigmas: float | None = SIGMAS) -> DataFrame:
     """(a, b): every block's smallest id with what may be similar to it. ``members``: key, count, id, comp, n, signature."""
     own = F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / BLOCK).cast("int")).cast("long")
     rows = members.withColumn("block", own).select("key", "block", "id", "comp", "n", "signature")
-    return at.mapped(rows.repartition("key", "block").sortWithinPartitions("key", "block"), _by_block(percent, "hub_pairs", ["a", "b"]), "a long, b long").distinct()
+    return at.mapped(rows.repartition("key", "block").sortWithinPartitions("key", "block"), _by_block(percent, "hub_pairs", ["a", "b"], sigmas), "a long, b long").distinct()
 
 
 def _met(members: DataFrame, blocks, columns: list[str]) -> DataFrame:
@@ -256,16 +261,16 @@ def _met(members: DataFrame, blocks, columns: list[str]) -> DataFrame:
     return dealt.select("key", "block", *columns).repartition("key", "block").sortWithinPartitions("key", "block")
 
 
-def marked_members(members: DataFrame, percent: int) -> DataFrame:
+def marked_members(members: DataFrame, percent: int, sigmas: float | None = SIGMAS) -> DataFrame:
     """(key, id) of members with a partner of another component. ``members``: key, count, id, comp, n, signature, bands."""
     rows = _met(members, F.ceil(F.col("count") / BLOCK), ["id", "comp", "n", "signature", "bands"])
-    return at.mapped(rows, _by_block(percent, "marked", ["key", "id"]), "key long, id long").distinct()
+    return at.mapped(rows, _by_block(percent, "marked", ["key", "id"], sigmas), "key long, id long").distinct()
 
 
-def joining_links(members: DataFrame, percent: int) -> DataFrame:
+def joining_links(members: DataFrame, percent: int, sigmas: float | None = SIGMAS) -> DataFrame:
     """(ca, cb): links between components, confirmed on full sets. ``members``: key, bytes, id, comp, n, signature, bands, grams."""
     rows = _met(members, F.ceil(F.col("bytes") / BLOCK_BYTES), ["id", "comp", "n", "signature", "bands", "grams"])
-    return at.mapped(rows, _by_block(percent, "links", ["ca", "cb"]), "ca long, cb long").distinct()
+    return at.mapped(rows, _by_block(percent, "links", ["ca", "cb"], sigmas), "ca long, cb long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -276,11 +281,19 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", same.alias("same"), (F.size("ga") + F.size("gb")).alias("sizes")).where(F.col("same") * 100 >= (F.col("sizes") - F.col("same")) * percent).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, sigmas: float | None = SIGMAS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable over links) and kept (the id itself) of every document; ids are integers."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    if not texts.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        # One text for each id; rows without an id stay.
+        own = texts.where("id is not null").groupBy("id").agg(F.max(F.struct(F.length("text"), "text"))["text"].alias("text"), F.count(F.lit(1)).alias("rows"))
+        own = scratch.write(own, "texts")
+        again = own.where("rows > 1").select("id", F.explode(F.sequence(F.lit(2), F.col("rows"))).alias("__copy")).select("id")
+        texts = own.select("id", "text").unionByName(texts.where("id is null"))
+    else:
+        again = None
     sketches = scratch.write(at.mapped(texts, _sketcher(words), "id long, n long, d1 long, d2 long, signature binary, bands array<long>"), "sketches")
     rows = salted(sketches.select("id", "n", "d1", "d2"), "id")
     groups = scratch.write(rows.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), salt_set()), "groups")
@@ -295,17 +308,17 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     sets = scratch.write(at.mapped(texts.join(busy, "id", "left_semi"), _set_maker(words), "id long, grams array<long>").dropDuplicates(["id"]), "sets")
 
     members = bucket.join(sketch.drop("bands"), "id").withColumn("comp", F.col("id"))
-    pairs = scratch.write(hub_pairs(members, percent), "pairs")
+    pairs = scratch.write(hub_pairs(members, percent, sigmas), "pairs")
     links = scratch.write(confirmed(pairs, sets, percent), "hub-links")
     labels = connected_components(links, scratch=scratch, label="hub")
     joined = bucket.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "count", F.coalesce("component", "id").alias("comp"))
     joined = scratch.write(joined, "joined")
     mixed = scratch.write(joined.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"), "mixed")
     members = joined.join(mixed, "key").join(sketch, "id")
-    marked = scratch.write(marked_members(members, percent), "marked")
+    marked = scratch.write(marked_members(members, percent, sigmas), "marked")
     sizes = scratch.write(marked.join(sketch.select("id", "n"), "id").groupBy("key").agg((F.sum("n") * 8).alias("bytes")), "sizes")
     meeting = marked.join(joined.select("key", "id", "comp"), ["key", "id"]).join(sizes, "key").join(sketch, "id").join(sets, "id")
-    links = scratch.write(joining_links(meeting, percent), "links")
+    links = scratch.write(joining_links(meeting, percent, sigmas), "links")
     step = connected_components(links, a="ca", b="cb", scratch=scratch, label="all")
     moved = labels.join(step.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     labels = scratch.write(moved.unionByName(step.join(labels.select("node"), "node", "left_anti")), "labels")
@@ -314,7 +327,11 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     ends = by_salt(ends.select("d1", "d2", "__salts", F.coalesce("component", "rep").alias("component_id")))
     known = rows.where("n > 0 and id is not null").join(ends, ["d1", "d2", "__salt"]).select("id", "n", "component_id")
     alone = rows.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
-    return known.unionByName(alone).select(
+    found = known.unionByName(alone)
+    if again is not None:
+        found = scratch.write(found, "found")
+        found = found.unionByName(found.join(again, "id"))
+    return found.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
     )
 
