@@ -188,6 +188,18 @@ def test_local_search_ends_at_a_local_optimum():
                 assert packing.improving_exchange(a, b, 1000) is None
 
 
+@pytest.mark.parametrize(("low", "high", "n"), [(200, 499, 20_000), (250, 420, 3000), (300, 600, 500)])
+def test_local_search_needs_fewer_bins_than_best_fit(low, high, n):
+    lengths = Counter(np.random.default_rng(1).integers(low, high + 1, n).tolist())
+    fit, found = (packing.pack_lengths(dict(lengths), 1024, search=s) for s in (False, True))
+    held = Counter()
+    for p, k in found:
+        assert sum(p) <= 1024
+        for x in p:
+            held[x] += k
+    assert held == lengths and sum(k for _, k in found) < sum(k for _, k in fit)
+
+
 def test_special_strings_in_texts():
     from tokenizers import Tokenizer
 
@@ -220,7 +232,11 @@ def test_repeated_passages(spark, no_docs):
     assert suffixes.repeated_spans(no_docs).count() == 0
 
 
-def test_repeated_passages_odd_input(odd_docs):
+def test_repeated_passages_odd_input(spark, odd_docs):
+    long = " ".join(f"w{i}" for i in range(300))
+    twice = spark.createDataFrame([(1, long), (1, "short text"), (2, "q " + long[200:]), (2, long[:150])], "doc_id long, text string")
+    for df in (twice, twice.orderBy(F.length("text"))):
+        assert {r.doc_id for r in suffixes.repeated_spans(df).collect()} == {1, 2}
     assert {r.doc_id for r in suffixes.repeated_spans(odd_docs).collect()} == {6, 7}
 
 
@@ -321,6 +337,10 @@ def test_near_duplicates_against_brute_force(spark, odd_docs, no_docs):
                 parent[max(a, b)] = min(a, b)
     got = rows(minhash.near_duplicates(df, words=4))
     assert [(got[i].n_shingles, got[i].component_id) for i in range(len(docs))] == [(len(sets[i]), root(i)) for i in range(len(docs))]
+    exact = rows(minhash.near_duplicates(df, words=4, sigmas=None))
+    assert all(exact[i].component_id == got[i].component_id for i in range(len(docs)))
+    twice = spark.createDataFrame([(1, "a b c d e f g h i j k l m n"), (2, "x y z"), (1, "x y"), (3, "x y z"), (None, "x y z")], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(twice).collect()), key=repr) == [(1, 1, True), (1, 1, True), (2, 2, True), (3, 2, False), (None, None, True)]
     odd = minhash.near_duplicates(odd_docs).collect()
     assert len(odd) == 10 and {r.component_id for r in odd if r.doc_id in (6, 7)} == {6}
     assert minhash.deduplicate(odd_docs).columns == odd_docs.columns
