@@ -3,12 +3,12 @@
 Texts are normalised and split as the vocabulary's file says, and every distinct
 word of a slice is run once through the counting transducer (``transducer``);
 counts are then added up per document. A text longer than ``CHUNK`` code points is
-cut into chunks at any place, each chunk becomes a state map, and the maps are
-composed by a scan, so that memory does not grow with one text's words.
+cut into chunks, inside a word where it must be, each chunk becomes a state map, and the maps are
+composed by a scan; what is held for a chunk is numbers, so that memory does not grow with one text's words, nor with one word.
 
-Map-side only: no shuffle, nothing gathered. A worker keeps its compiled states
+Map-side only: no shuffle, nothing gathered. A worker keeps its compiled states (bounded, see ``transducer``)
 and a word memo of at most ``MEMO`` entries between batches; words are told apart
-by 64-bit hashes.
+by 64-bit hashes. Each worker scans the chunks of its own texts.
 
 Defined results: null and empty texts have no tokens; strings of special tokens in
 a text count one token each; repeated rows are counted each; other columns are
@@ -28,14 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .pretokens import word_pieces
-from .transducer import ChunkMap, CountingTransducer, scan_total
+from .pretokens import LETTER, OTHER, SUFFIXES, classes, word_pieces
+from .transducer import ChunkMap, CountingTransducer, Open, total_tokens
 
 CHUNK = 1 << 18
-MEMO = 1_000_000
+MEMO = 500_000
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
-#: The blanks of the splitting rule (not Python's, which has four control characters more).
-_blank = re.compile("[ \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _special = re.compile("|".join(map(re.escape, SPECIALS)))
 
 
@@ -76,23 +74,49 @@ class Counter:
         first = np.searchsorted(starts, offsets)
         return total[first[1:]] - total[first[:-1]]
 
-    def piece(self, text: str) -> int:
-        return int(self.rows([text])[0]) if text else 0
+    def cuts(self, points: np.ndarray, chunk: int) -> list[tuple[int, bool]]:
+        """Ends of chunks of about ``chunk`` code points, and whether a word goes on there.
+
+        A cut lies at a word's border or inside a run of letters or of other signs; never within reach of an apostrophe, whose rule looks ahead.
+        """
+        kind, n, out, at_ = classes()[points], len(points), [], 0
+        longest = max(map(len, SUFFIXES)) + 1
+        while n - at_ > chunk:
+            cut = at_ + chunk
+            while cut < n and (points[max(at_, cut - longest) : cut + 1] == 39).any():
+                cut += 1
+            if cut >= n:
+                break
+            out.append((cut, bool(kind[cut - 1] == kind[cut] and kind[cut] in (LETTER, OTHER))))
+            at_ = cut
+        out.append((n, False))
+        return out
 
     def chunk_maps(self, text: str, chunk: int) -> list[ChunkMap]:
         """The state map of each chunk of a normalised text."""
-        heads, inner, tails = [], [], []
-        for at_ in range(0, len(text), chunk):
-            part = text[at_ : at_ + chunk]
-            blanks = [m.start() for m in _blank.finditer(part)]
-            first, last = (blanks[0], blanks[-1]) if blanks else (len(part), None)
-            heads.append(part[:first])
-            inner.append(part[first:last] if blanks else "")
-            tails.append(part[last:] if blanks else None)
-        return [ChunkMap(h, int(n), t) for h, n, t in zip(heads, self.rows(inner), tails)]
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        maps, at_, goes_on = [], 0, False
+        for cut, open_ in self.cuts(points, chunk):
+            part = points[at_:cut]
+            starts, ends = word_pieces(part, np.array([0, len(part)]))
+            spell = lambda a, b: part[a:b].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")  # noqa: E731, B023
+            first = int(ends[0]) if goes_on else 0
+            if open_ and goes_on and len(starts) == 1:
+                maps.append(ChunkMap(self.machine, spell(0, len(part)), False))
+            else:
+                last = int(starts[-1]) if open_ else len(part)
+                inner = self.rows([part[first:last].tobytes().decode("utf-32-le", "surrogatepass")])[0] if last > first else 0
+                after, more = Open(), 0
+                if open_:
+                    tail = spell(last, len(part))
+                    state, more = self.machine.run(0, tail[:-1])
+                    after = Open(self.machine.states[state], tail[-1])
+                maps.append(ChunkMap(self.machine, spell(0, first), goes_on, int(inner) + more, after))
+            at_, goes_on = cut, open_
+        return maps
 
     def long(self, text: str, chunk: int) -> int:
-        return scan_total(self.chunk_maps(text, chunk), self.piece)
+        return total_tokens(self.chunk_maps(text, chunk))
 
     def column(self, column: pa.Array, chunk: int = CHUNK) -> np.ndarray:
         """Tokens of each text of an Arrow column."""

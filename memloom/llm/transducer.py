@@ -9,12 +9,14 @@ been counted since. The next byte closes exactly one candidate token. Its
 transition is annotated with the tokens that are emitted (a negative number takes
 back tokens that have merged), and the end of a word has transitions of its own.
 
-States are compiled when they are first reached and numbered; the tables are
-deterministic and do not depend on the order in which texts come.
-
-A blank brings every state back to the start. The map of a chunk of text is thus
-its head up to the first blank, the tokens emitted between its blanks, and its
-tail; maps compose associatively, and a long text is a parallel scan of them.
+States are compiled when they are first reached and numbered. Results do not depend on the order in which texts come. When
+there are ``MOST_STATES`` or ``MOST_PAIRS`` of what grows with the texts, the tables are dropped and compiled anew from the
+state reached, inside a word if need be.
+
+A long text is cut into chunks at places where words may continue. What a chunk does is a map from the state before it to
+the state after it and the tokens emitted (``ChunkMap``): numbers, never text. A chunk that holds a word's end sends every
+state that enters it to one state, so its map is what happens up to that end for the entering state, and constants after it. Maps compose associatively;
+``prefix_scan`` composes them in pairs, level by level.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from dataclasses import dataclass
 
 START = -1
 NEVER = 1 << 60
+#: Compiled states, and remembered pairs of tokens, that are held at most (each some hundred bytes).
+MOST_STATES, MOST_PAIRS = 100_000, 300_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -33,6 +37,10 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+State = tuple[tuple[int, int, int], ...]
+BEGIN: State = ((0, START, 0),)
+
+
 class CountingTransducer:
     """Counts the tokens of words under a BPE vocabulary with an end-of-word suffix."""
 
@@ -68,11 +76,43 @@ class CountingTransducer:
                 node = self.child[node][s]
             self.token[node] = token
         self.apart: dict[tuple[int, int], bool] = {}
-        begin = ((0, START, 0),)
-        self.states: list[tuple[tuple[int, int, int], ...]] = [begin]
-        self.number: dict[tuple[tuple[int, int, int], ...], int] = {begin: 0}
-        self.steps: list[dict[int, tuple[int, int]]] = [{}]
-        self.closes: list[dict[int, int]] = [{}]
+        self.states: list[State] = []
+        self.number: dict[State, int] = {}
+        self.steps: list[dict[int, tuple[int, int]]] = []
+        self.closes: list[dict[int, int]] = []
+        self._forget()
+
+    def _forget(self) -> None:
+        """Back to the start state alone, which is number 0."""
+        for table in (self.states, self.number, self.steps, self.closes):
+            table.clear()
+        self.enter(BEGIN)
+
+    def enter(self, key: State) -> int:
+        """The number of a state."""
+        to = self.number.get(key)
+        if to is None:
+            to = self.number[key] = len(self.states)
+            self.states.append(key)
+            self.steps.append({})
+            self.closes.append({})
+        return to
+
+    def run(self, state: int, word: bytes) -> tuple[int, int]:
+        """The state after bytes inside a word, and the tokens emitted."""
+        total, steps = 0, self.steps
+        for byte in word:
+            move = steps[state].get(byte) or self._step(state, byte)
+            state = move[0]
+            total += move[1]
+        return state, total
+
+    def end(self, state: int, last: int) -> int:
+        """Tokens emitted by a word's last byte."""
+        emitted = self.closes[state].get(last)
+        if emitted is None:
+            emitted = self.closes[state][last] = self._close(state, self.final[last])[1]
+        return emitted
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """Tokens at the given edge of ``token`` while it is merged, each with the rank that replaces it."""
@@ -87,6 +127,8 @@ class CountingTransducer:
         key = (left, right)
         known = self.apart.get(key)
         if known is None:
+            if len(self.apart) >= MOST_PAIRS:
+                self.apart.clear()
             known = self.apart[key] = self._stay_apart(self._spine(left, 1), self._spine(right, 0))
         return known
 
@@ -115,6 +157,10 @@ class CountingTransducer:
         raise AssertionError("every byte is a token")
 
     def _step(self, state: int, byte: int) -> tuple[int, int]:
+        if len(self.states) >= MOST_STATES:
+            here = self.states[state]
+            self._forget()
+            state = self.enter(here)
         symbol = self.letter[byte]
         token, emitted = self._close(state, symbol)
         grown = []
@@ -122,56 +168,82 @@ class CountingTransducer:
             after = self.child[node].get(symbol)
             if after is not None and self.child[after]:
                 grown.append((after, last, since + emitted))
-        key = (*grown, (0, token, 0))
-        to = self.number.get(key)
-        if to is None:
-            to = self.number[key] = len(self.states)
-            self.states.append(key)
-            self.steps.append({})
-            self.closes.append({})
+        to = self.enter((*grown, (0, token, 0)))
         made = self.steps[state][byte] = (to, emitted)
         return made
 
     def count(self, word: bytes) -> int:
         """Tokens of one word (a piece between the splits of the vocabulary's rule)."""
-        state, total, steps = 0, 0, self.steps
-        for byte in word[:-1]:
-            move = steps[state].get(byte) or self._step(state, byte)
-            state = move[0]
-            total += move[1]
-        last = word[-1]
-        emitted = self.closes[state].get(last)
-        if emitted is None:
-            emitted = self.closes[state][last] = self._close(state, self.final[last])[1]
-        return total + emitted
+        state, total = self.run(0, word[:-1])
+        return total + self.end(state, word[-1])
 
 
 @dataclass(frozen=True)
+class Open:
+    """A place inside a text: no word is open (``last`` is None), or one whose bytes but the last, ``last``, have led to ``state``."""
+
+    state: State = BEGIN
+    last: int | None = None
+
+
 class ChunkMap:
-    """What a chunk does to any state: ``head`` runs from the state before, then ``count`` tokens, then ``tail`` is open.
+    """What a chunk does to the place before it: the place after it and the tokens emitted.
 
-    Without a blank in it the chunk is all head and ``tail`` is None.
+    ``head`` are the chunk's first bytes if they go on with a word, ``ends`` whether that word ends in the chunk, ``count`` and ``after`` what
+    follows it. The map for a place is made when it is asked for and kept, as two numbers.
     """
 
-    head: str
-    count: int = 0
-    tail: str | None = None
+    def __init__(self, machine: CountingTransducer, head: bytes, ends: bool, count: int = 0, after: Open = Open()) -> None:  # noqa: B008
+        self.machine, self.head, self.ends, self.tokens, self.after = machine, head, ends, count, after
+        self.known: dict[Open, tuple[Open, int]] = {}
+
+    def __call__(self, before: Open) -> tuple[Open, int]:
+        got = self.known.get(before)
+        if got is None:
+            got = self.known[before] = self._through(before)
+        return got
+
+    def _through(self, before: Open) -> tuple[Open, int]:
+        machine, word = self.machine, self.head
+        if before.last is not None:
+            word = bytes([before.last]) + word
+        if not word:
+            return self.after, self.tokens
+        state, total = machine.run(machine.enter(before.state), word[:-1])
+        if not self.ends:
+            return Open(machine.states[state], word[-1]), total
+        return self.after, total + machine.end(state, word[-1]) + self.tokens
+
+
+@dataclass(frozen=True)
+class Composed:
+    """First one map, then another; for each place again two numbers."""
+
+    first: ChunkMap | Composed
+    then: ChunkMap | Composed
+
+    def __call__(self, before: Open) -> tuple[Open, int]:
+        place, n = self.first(before)
+        place, more = self.then(place)
+        return place, n + more
 
 
-def compose(left: ChunkMap, right: ChunkMap, count_piece) -> ChunkMap:
-    """First ``left``, then ``right``; ``count_piece`` counts a text without blanks."""
-    if left.tail is None:
-        return ChunkMap(left.head + right.head, right.count, right.tail)
-    if right.tail is None:
-        return ChunkMap(left.head, left.count, left.tail + right.head)
-    return ChunkMap(left.head, left.count + count_piece(left.tail + right.head) + right.count, right.tail)
+def prefix_scan(maps: list) -> list:
+    """The composition of the first 1, 2, ... maps, in rounds of doubling reach; within a round all compositions are independent."""
+    out, reach = list(maps), 1
+    while reach < len(out):
+        out = [Composed(out[i - reach], out[i]) if i >= reach else out[i] for i in range(len(out))]
+        reach *= 2
+    return out
 
 
-def scan_total(maps: list[ChunkMap], count_piece) -> int:
-    """Tokens of all chunks in order: a balanced reduction, then head and tail from the start state."""
-    while len(maps) > 1:
-        maps = [compose(maps[i], maps[i + 1], count_piece) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+def total_tokens(maps: list) -> int:
+    """Tokens of a text from its chunks' maps, the first word starting with the first chunk."""
     if not maps:
         return 0
-    whole = maps[0]
-    return count_piece(whole.head) + whole.count + (count_piece(whole.tail) if whole.tail is not None else 0)
+    place, n = Open(), 0
+    level = list(maps)
+    while len(level) > 1:  # the last entry of the scan, by a balanced reduction
+        level = [Composed(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    place, n = level[0](Open())
+    return n

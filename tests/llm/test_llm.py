@@ -17,7 +17,8 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from memloom.llm import arrowtext, decontaminate, exact_dedup, lm_score, minhash, packing, perspectives, secrets, suffixes, token_count, toxicity  # noqa: E402
 from memloom.llm.queries import ORACLES, QUERIES  # noqa: E402
-from memloom.llm.transducer import ChunkMap, CountingTransducer, compose, scan_total  # noqa: E402
+from memloom.llm import transducer  # noqa: E402
+from memloom.llm.transducer import Composed, Open, prefix_scan, total_tokens  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -290,18 +291,36 @@ def test_token_counts_equal_library(spark, odd_docs, no_docs):
 
 
 def test_chunk_maps_compose_associatively():
-    machine = CountingTransducer(WORD)
-    count = lambda t: sum(machine.count(w.encode()) for w in t.split())
-    text = "understanding  composition of statemaps everywhere x"
-    maps = [ChunkMap(*_chunk(text[i : i + 5], count)) for i in range(0, len(text), 5)]
-    assert scan_total(list(maps), count) == count(text)
-    a, b, c = maps[:3]
-    assert compose(compose(a, b, count), c, count) == compose(a, compose(b, c, count), count)
-
-
-def _chunk(part, count):
-    blanks = [i for i, ch in enumerate(part) if ch == " "]
-    return (part[: blanks[0]], count(part[blanks[0] : blanks[-1]]), part[blanks[-1] :]) if blanks else (part,)
+    counter, text = token_count.Counter(WORD), "understanding  compositionofstatemaps everywhere!!!!! x isn't 12"
+    maps = counter.chunk_maps(text, 5)
+    whole = int(counter.rows([text])[0])
+    assert total_tokens(maps) == whole and len(maps) > 8
+    scanned = prefix_scan(maps)
+    upto, place = 0, Open()
+    for m, s in zip(maps, scanned):
+        place, n = m(place)
+        upto += n
+        assert s(Open()) == (place, upto)
+    a, b, c = maps[2:5]
+    for before in (Open(), maps[0](Open())[0], maps[1](maps[0](Open())[0])[0]):
+        assert Composed(Composed(a, b), c)(before) == Composed(a, Composed(b, c))(before)
+
+
+def test_long_text_without_blanks_and_bounded_tables(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tok, rng = Tokenizer.from_file(WORD), np.random.default_rng(3)
+    letters = "".join(chr(97 + x) for x in rng.integers(0, 26, 300_000))
+    counter = token_count.Counter(WORD)
+    for text in (letters, "!?" * 150_000 + "a's" * 9, "été" * 100_000):
+        assert len(text) > token_count.CHUNK
+        assert int(counter.column(pa.array([text]))[0]) == len(tok.encode(text, add_special_tokens=False).ids)
+    assert len(counter.machine.states) <= transducer.MOST_STATES and max(len(m.head) for m in counter.chunk_maps(letters, 1000)) <= 1000
+    monkeypatch.setattr(transducer, "MOST_STATES", 50)
+    monkeypatch.setattr(transducer, "MOST_PAIRS", 50)
+    words = " ".join(letters[k : k + 9] for k in range(0, 9000, 9))
+    small = token_count.Counter(WORD)
+    assert [int(x) for x in small.column(pa.array([words[:4000], words[4000:], words]))] == [len(tok.encode(t, add_special_tokens=False).ids) for t in (words[:4000], words[4000:], words)]
 
 
 # ── 7 ────────────────────────────────────────────────────────────────────────────────────────────────────────────
