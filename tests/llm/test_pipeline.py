@@ -47,3 +47,22 @@ def test_stages_against_plain_version(spark):
     packed = corpus_pipeline.run(spark, SF).collect()
     assert sorted({r.doc_id for r in packed}) == left
     assert [n for n, _ in corpus_pipeline.STAGES] and max(r.offset + r.length for r in packed) <= 1024
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_stages_take_odd_input(spark, odd_docs, no_docs, name, stage):
+    """Nulls, empty and long texts, repeats, clashing columns, a row without an id, and no rows at all."""
+    nameless = spark.createDataFrame([(None, "a text of its own", "s", 1, "k", 0)], odd_docs.schema)
+    out = stage(spark, odd_docs.unionByName(nameless), SF)
+    if name == "best_fit_packing":
+        assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {None, *range(1, 10)}
+    else:
+        kept = out.collect()
+        assert out.columns == odd_docs.columns and {r.doc_id for r in kept} <= {None, *range(1, 10)}
+        if name == "exact_dedup":
+            assert sorted(((r.doc_id or 0) for r in kept)) == [0, 3, 4, 5, 6, 7, 8]
+        if name == "minhash_near_dedup":
+            assert {r.doc_id for r in kept} == {None, 1, 2, 3, 4, 6, 8, 9}
+        if name == "benchmark_decontamination":
+            assert len(kept) == 11
+    assert stage(spark, no_docs, SF).count() == 0
