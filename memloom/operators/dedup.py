@@ -244,12 +244,16 @@ def merged_claims(claims: DataFrame) -> DataFrame:
 
 
 def claim_merges(claims: DataFrame) -> DataFrame:
-    """Merge records of the claim pass, oldest first; the winner's snapshot has the confidence reached before that merge."""
+    """Merge records of the claim pass, oldest first; the winner's snapshot has the confidence reached before that merge.
+
+    The winner comes from an aggregation, made in parts before the shuffle, and the confidence from a running maximum, so no task holds a key's rows at once.
+    """
     keyed = claims.withColumn("key", claim_key(F.col("subject_name"), F.col("relation"), F.col("object_name")))
-    w = Window.partitionBy("key").orderBy(F.coalesce("valid_from", F.lit("")), "seq")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    when = F.coalesce("valid_from", F.lit(""))
+    wins = keyed.groupBy("key").agg(F.max_by(F.struct(*claims.columns), F.struct(when, "seq")).alias("win"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    before = Window.partitionBy("key").orderBy(when, "seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = keyed.withColumn("upto", F.max("confidence").over(before)).join(wins, "key").where(F.col("seq") != F.col("win.seq"))
     names = [c for c in claims.columns if c != "evidence"]
-    rows = keyed.withColumns({"n": F.count(F.lit(1)).over(Window.partitionBy("key")), "win": F.last(F.struct(*claims.columns)).over(whole), "rn": F.row_number().over(w), "upto": F.max("confidence").over(w.rowsBetween(Window.unboundedPreceding, -1))}).where("rn < n")
     winner = F.struct(*[F.greatest(F.col("win.confidence"), F.col("upto")).alias(c) if c == "confidence" else F.col(f"win.{c}").alias(c) for c in names], F.col("win.evidence").alias("evidence"))
     reason = F.concat(F.lit("same_canonical_key ("), F.col("n").cast("string"), F.lit(" occurrences)"))
     return _record(rows, "claim", F.col("win.id"), F.col("id"), reason, winner, F.struct(*claims.columns), F.col("valid_from"))
