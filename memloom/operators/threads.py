@@ -73,27 +73,51 @@ def _replay(edges: pd.DataFrame) -> pd.DataFrame:
         if a != b:
             parent[a] = b
     nodes = sorted(parent)
-    return pd.DataFrame({"mid": nodes, "root": [root(n) for n in nodes]})
+    return pd.DataFrame({"mid": nodes, "root": [root(n) for n in nodes]}, dtype="str")
+
+
+def climbed(links: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(mid, root) where every message answers at most one other: pointers that reach twice as far in each round. None if one answers several, or in a circle."""
+    up = scratch.write(links.where("child <> parent").select(F.col("child").alias("mid"), F.col("parent").alias("root")).distinct(), "up")
+    shape = up.agg(F.count(F.lit(1)).alias("links"), F.count_distinct("mid").alias("children")).first()
+    if shape.links != shape.children:
+        return None
+    for turn in range(shape.links.bit_length() + 1):
+        over = up.select(F.col("mid").alias("root"), F.col("root").alias("further"))
+        moved = up.join(over, "root", "left").select("mid", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
+        moved = scratch.write(moved, f"up-{turn}")
+        up = moved.select("mid", "root")
+        if moved.where("moved").isEmpty():
+            return up
+    return None
+
+
+def replayed(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(mid, root) of any links: components in parallel, then the ordered unions of those that have several links from one message."""
+    parts = connected_components(links, a="child", b="parent", scratch=scratch)
+    tagged = scratch.write(links.join(parts.select(F.col("node").alias("child"), "component"), "child"), "tagged")
+    shape = tagged.groupBy("component", "child").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max("n").alias("most"))
+    both = F.array(F.struct(F.col("child").alias("node"), F.lit(1).alias("answers")), F.struct(F.col("parent").alias("node"), F.lit(0).alias("answers")))
+    members = tagged.select("component", F.explode(both).alias("m")).groupBy("component", "m.node").agg(F.max("m.answers").alias("answers"))
+    tops = members.groupBy("component").agg(F.count_if(F.col("answers") == 0).alias("tops"), F.max(F.when(F.col("answers") == 0, F.col("node"))).alias("root"))
+    plain = shape.join(tops, "component").where("most = 1 and tops = 1").select("component", "root")
+    roots = members.where("answers = 1").join(plain, "component").select(F.col("node").alias("mid"), "root")
+    mixed = tagged.join(plain, "component", "left_anti")
+    return roots.unionByName(mixed.groupBy("component").applyInPandas(lambda pdf: _replay(pdf), "mid string, root string"))
 
 
 def thread_keys(messages: DataFrame) -> DataFrame:
     """``messages`` with ``thread_key`` and ``insert_ord`` (the order in which a thread lists equal timestamps).
 
-    Components are found in parallel. Where every message of a component answers one other, the root is the one that answers
-    none; only components with several links from one message need their ordered unions replayed. The component's root message is not a key of the union structure, so it falls to its
+    Where every message answers one other at most, the root is the one that answers none, and messages climb to it; otherwise
+    components are found, and those with several links from one message have their ordered unions replayed. The component's root message is not a key of the union structure, so it falls to its
     subject; threads whose first message has the same subject are then one.
     """
-    edges = link_edges(messages)
-    parts = connected_components(edges, a="child", b="parent")
-    tagged = edges.join(parts.select(F.col("node").alias("child"), "component"), "child")
-    tagged = Scratch(messages.sparkSession, "threads").write(tagged, "links")
-    shape = tagged.groupBy("component", "child").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("children"))
-    members = tagged.select("component", F.explode(F.array(F.struct(F.col("child").alias("node"), F.lit(1).alias("answers")), F.struct(F.col("parent").alias("node"), F.lit(0).alias("answers")))).alias("m")).groupBy("component", "m.node").agg(F.max("m.answers").alias("answers"))
-    tops = members.groupBy("component").agg(F.count_if(F.col("answers") == 0).alias("tops"), F.max(F.when(F.col("answers") == 0, F.col("node"))).alias("root"))
-    plain = shape.join(tops, "component").where("most = 1 and tops = 1").select("component", "root")
-    roots = members.where("answers = 1").join(plain, "component").select(F.col("node").alias("mid"), "root")
-    mixed = tagged.join(plain, "component", "left_anti")
-    roots = roots.unionByName(mixed.groupBy("component").applyInPandas(lambda pdf: _replay(pdf), "mid string, root string"))
+    scratch = Scratch(messages.sparkSession, "threads")
+    links = scratch.write(link_edges(messages), "links")
+    roots = climbed(links, scratch)
+    if roots is None:
+        roots = replayed(links, scratch)
     keyed = messages.withColumn("__mid", strip(F.col("message_id"))).join(roots.withColumnRenamed("mid", "__mid"), "__mid", "left")
     own = F.coalesce("root", F.concat(F.lit("subj::"), normalise_subject(F.col("subject"))))
     keyed = keyed.withColumn("key", own).drop("__mid", "root")

@@ -378,6 +378,16 @@ def test_build_from_mail_files_goes_on_after_a_kill(spark, tmp_path):
     assert [r.value for r in browse.distinct_values(c, "status").collect()] == sorted({r.status for r in c.collect()})
 
 
+def test_climbing_equals_replaying(spark):
+    from memloom.operators.scratch import Scratch
+
+    make = lambda pairs: spark.createDataFrame([(i, 0, c, p) for i, (c, p) in enumerate(pairs)], "seq long, ord int, child string, parent string")
+    trees = make([(f"m{i}", f"m{i - 1}") for i in range(1, 12)] + [("x", "m3"), ("y", "x"), ("b", "a"), ("s", "s"), ("b", "a")])
+    got = [{(r.mid, r.root) for r in f(trees, Scratch(spark, "t")).collect()} for f in (threads.climbed, threads.replayed)]
+    assert got[0] == got[1] and ("y", "m0") in got[0] and ("b", "a") in got[0]
+    assert threads.climbed(make([("a", "b"), ("a", "c")]), Scratch(spark, "t")) is None and threads.climbed(make([("a", "b"), ("b", "a")]), Scratch(spark, "t")) is None
+
+
 def test_artifact_order_decides_winners(spark):
     """The third thread opens like the first, so its entity comes before the second thread's and wins the merge."""
     ents = spark.createDataFrame([("t2", 1, "i2", "ANN "), ("t3", 1, "i3", "Ann"), ("t1", 1, "i1", "Bob")], "thread_id string, place int, id string, name string")
