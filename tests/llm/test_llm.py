@@ -270,6 +270,23 @@ def test_markov_models_find_random_strings(spark, no_docs):
     assert secrets.scan(no_docs, secrets.train(no_docs)).count() == 0
 
 
+def test_markov_models_on_held_out_documents(spark):
+    """Trained on one half of the documents; judged on what the patterns find in the other half (none of the generator's making) and its other runs."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    models = secrets.train(docs.where("pmod(xxhash64(doc_id), 2) = 0"))
+    keys, plain = [], []
+    data, offsets = arrowtext.utf8(pa.array([r.text for r in docs.where("pmod(xxhash64(doc_id), 2) = 1").collect()]))
+    raw, taken = data.tobytes(), secrets.pattern_spans(data, offsets)
+    for start, kind, end in taken:
+        value = secrets.ASSIGN.match(raw, start, end)[2] if kind == 0 else raw[start:end]
+        if len(value) >= 24:
+            keys.append(value)
+    starts, ends = secrets.open_runs(data, offsets, taken, secrets.LEAST["random"])
+    plain = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+    assert len(keys) > 20 and np.mean([models.is_random(k) for k in keys]) > 0.9
+    assert not plain or np.mean([models.is_random(p) for p in plain]) < 0.1
+
+
 def test_secrets_odd_input(odd_docs):
     assert secrets.scan(odd_docs, secrets.train(odd_docs)).count() == 10
 
