@@ -40,8 +40,10 @@ class Scratch:
         df.write.mode("overwrite").parquet(target)
         return self.spark.read.schema(df.schema).parquet(target)
 
-    def drop(self, name: str) -> None:
-        self._delete(f"{self.path}/{name}")
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing will read again: what was made of them is written."""
+        for name in names:
+            self._delete(f"{self.path}/{name}")
 
     def clear(self) -> None:
         """Delete all tables of this run; for callers whose results are written elsewhere."""
