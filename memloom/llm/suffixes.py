@@ -138,6 +138,7 @@ def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, gram: int = G
     # Written, so that the join below reads two plain shuffles and a gram that many rows have can be split.
     shared = scratch.write(suffixes.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("gram"), "shared")
     kept = scratch.write(salted(suffixes.join(shared, "gram"), "id"), "kept")
+    scratch.drop("suffixes", "shared")
     stretches = kept.groupBy("stretch").agg(F.first("gram").alias("gram"), F.min("id").alias("owner"), F.max("id").alias("high"), F.min(F.struct("id", "first", "last")).alias("one"), salt_set())
     stretches = scratch.write(stretches.withColumn("many", F.col("owner") < F.col("high")), "stretches")
     varied = scratch.write(stretches.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("gram"), "varied")
@@ -153,6 +154,7 @@ def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, gram: int = G
     found = windows.groupBy("content").agg(F.min("owner").alias("low"), F.max("owner").alias("high"), F.max("many").alias("any_many"), F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64) as int))")).alias("__salts"))
     found = by_salt(found.where("low <> high or any_many").select("content", "low", "__salts"))
     hits = scratch.write(salted(windows, "id").join(found, ["content", "__salt"]).drop("__salt"), "hits")
+    scratch.drop("varied", "open", "windows")
 
     earliest = hits.where("many").groupBy("stretch").agg(F.min("low").alias("low"))
     whole = stretches.where("many").join(earliest, "stretch", "left").select("stretch", F.coalesce("low", "owner").alias("low"), "__salts")
