@@ -322,6 +322,7 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     step = connected_components(links, a="ca", b="cb", scratch=scratch, label="all")
     moved = labels.join(step.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     labels = scratch.write(moved.unionByName(step.join(labels.select("node"), "node", "left_anti")), "labels")
+    scratch.drop("shared", "bucket", "busy", "sketch", "sets", "pairs", "hub-links", "hub-labels", "joined", "mixed", "marked", "sizes", "links", "all-labels")
 
     ends = groups.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     ends = by_salt(ends.select("d1", "d2", "__salts", F.coalesce("component", "rep").alias("component_id")))
