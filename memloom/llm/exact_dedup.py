@@ -133,6 +133,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Colu
         groups = spark.createDataFrame([], f"digest string, keep_id {came.schema['id'].dataType.simpleString()}, keep_batch string, keep_row long, keep_file string, group_size long, salts long")
     else:
         groups = scratch.write(run_stream(spark, f"{home}/arrivals/*", came.schema, f"{home}/state", bytes_per_batch), "groups")
+        if state_dir is None:
+            scratch.drop("state")
 
     present = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("salts", k) == 1)
     spread = groups.withColumn("salt", F.explode(present))
